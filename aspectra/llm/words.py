@@ -9,6 +9,7 @@ so any retry of a task gives the same values.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +56,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], raw[at[0] : at[-1]]
 
 
-def _hashed(raw: np.ndarray, at: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of each word of a block."""
+def _hashed(raw: np.ndarray, at: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number, start and end of each word of a block."""
     inside = ~_SPACE[raw]
     before, after = np.empty_like(inside), np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
@@ -69,7 +70,7 @@ def _hashed(raw: np.ndarray, at: np.ndarray, fold: bool) -> tuple[np.ndarray, np
     sums = np.empty(len(raw) + 1, _U)
     sums[0] = 0
     np.cumsum((_FOLDED if fold else _SYMBOL)[raw] * up[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(at, starts, "right") - 1
+    return mix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(at, starts, "right") - 1, starts, ends
 
 
 def _blocks(at: np.ndarray, raw: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -91,13 +92,38 @@ def _blocks(at: np.ndarray, raw: np.ndarray) -> Iterator[tuple[int, np.ndarray,
         k = end
 
 
+@dataclass
+class Words:
+    """All words of all texts in order: hash (A-Z folded), text number, bytes, capitals A-Z, last byte."""
+
+    hashes: np.ndarray
+    text: np.ndarray
+    size: np.ndarray
+    capitals: np.ndarray
+    last: np.ndarray
+
+
+def text_words(column: pa.Array) -> Words:
+    at, raw = utf8(column)
+    parts = []
+    for k, block, own in _blocks(at, raw):
+        if len(block):
+            h, text, starts, ends = _hashed(block, own, True)
+            big = np.zeros(len(block) + 1, np.int32)
+            np.cumsum((block >= 65) & (block <= 90), out=big[1:])
+            parts.append((h, text + k, ends - starts, big[ends] - big[starts], block[ends - 1].astype(np.int64)))
+    if not parts:
+        parts.append((np.zeros(0, _U), *[np.zeros(0, np.int64)] * 4))
+    return Words(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+
 def word_hashes(column: pa.Array, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     """All words of all texts: (hashes, place of each text's first word with the total at the end)."""
     at, raw = utf8(column)
     parts, counts = [], np.zeros(len(at), np.int64)
     for k, block, own in _blocks(at, raw):
         if len(block):
-            h, text = _hashed(block, own, fold)
+            h, text, _, _ = _hashed(block, own, fold)
             parts.append(h)
             counts[k + 1 : k + len(own)] += np.bincount(text, minlength=len(own) - 1)
     return (np.concatenate(parts) if parts else np.zeros(0, _U)), np.cumsum(counts)
@@ -130,7 +156,3 @@ def distinct_sets(hashes: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]
             np.not_equal(s[1:], s[:-1], out=keep[1:])
             s = s[keep]
         yield s
-
-
-def packed(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary())
