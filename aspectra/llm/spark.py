@@ -48,30 +48,23 @@ def shuffle_width(spark: SparkSession) -> int:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(id, label)`` per node.
 
-    ``label`` is the smallest id of the component.  Each round takes the least
-    label among the neighbours and then jumps to the label's own label, so the
-    rounds grow with the logarithm of the diameter.  Only a count reaches the
-    driver; labels are cut off from their lineage every round.
+    ``label`` is the smallest id of the component.  A round hands the least
+    label among a node's neighbours to the node and to the node it is labelled
+    with, then every label jumps to its own label, so rounds grow with the
+    logarithm of the diameter.  Only whether labels changed reaches the driver;
+    each round's labels are a written table.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = materialize(both.where("a <> b").distinct(), "edges")
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    labels = materialize(labels, "labels")
+    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     for _ in range(max_rounds):
-        near = (
-            both.join(labels.select(F.col("id").alias("b"), "label"), "b")
-            .groupBy(F.col("a").alias("id"))
-            .agg(F.min("label").alias("low"))
-        )
-        step = labels.join(near, "id", "left").select(
-            "id", F.least("label", "low").alias("next"), F.col("label").alias("was")
-        )
-        jump = labels.select(F.col("id").alias("next"), F.col("label").alias("jumped"))
-        step = step.join(jump, "next", "left").select(
-            "id", F.least("next", F.coalesce("jumped", "next")).alias("label"), "was"
-        )
+        seen = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("far")), "b").groupBy(F.col("a").alias("id")).agg(F.min("far").alias("low"))
+        near = labels.join(seen, "id").select("id", "label", F.least("label", "low").alias("low"))
+        hooked = near.select("id", "low").union(near.select(F.col("label").alias("id"), "low")).groupBy("id").agg(F.min("low").alias("low"))
+        jump = hooked.select(F.col("id").alias("low"), F.col("low").alias("jumped"))
+        step = labels.join(hooked, "id").join(jump, "low").select("id", F.least("low", "jumped").alias("next"), "label")
         step = materialize(step, "labels")
-        labels = step.select("id", "label")
-        if step.where("label <> was").isEmpty():
+        labels = step.select("id", F.col("next").alias("label"))
+        if step.where("label <> next").isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
