@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ from .spark import materialize
 CAPACITY = 4096
 END_ID = 1
 UNIT = 16
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 
 #: How the tokenizer splits a lower-cased text into words, and what may differ between its libraries and ours.
@@ -43,6 +44,40 @@ _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 _UNSURE = regex.compile(r"[^\x00-\x1b\x20-ȴ‐-‧‰-⁞€]|<\||[\x85İŉǰ]")
 
 
+def _byte_signs() -> list[str]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself if printable, else the next free one from U+0100."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    free = iter(range(0x100, 0x200))
+    return [chr(b if b in own else next(free)) for b in range(256)]
+
+
+class _Parts(dict):
+    """Lower-cased pretoken: its ids, as bytes."""
+
+    def __init__(self, model: object, most: int) -> None:
+        self.model, self.most, self.signs = model, most, _byte_signs()
+
+    def __missing__(self, part: str) -> bytes:
+        spelled = part if part.isascii() and part.isalpha() else "".join(map(self.signs.__getitem__, part.encode()))
+        ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        if len(self) < self.most:
+            self[part] = ids
+        return ids
+
+
+class _Words(dict):
+    """Lower-cased word between white space: its ids, as bytes."""
+
+    def __init__(self, parts: _Parts, most: int) -> None:
+        self.parts, self.most = parts, most
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.parts[word] if word.isascii() and word.isalpha() else b"".join(map(self.parts.__getitem__, _SPLIT.findall(word)))
+        if len(self) < self.most:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Token ids as little-endian bytes of four each, equal to the tokenizer's own."""
 
@@ -50,26 +85,26 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        split, new = [], set()
-        for t in texts:
-            plain = not _UNSURE.search(t) and (t.isascii() or unicodedata.is_normalized("NFC", t))
-            split.append(_SPLIT.findall(t.lower()) if plain else None)
-            if plain:
-                new.update(split[-1])
-        if len(self.known) > CACHE_WORDS:
-            self.known = {w: self.known[w] for w in new if w in self.known}
-        fresh = [w for w in new if w not in self.known]
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k : k + 20_000]
-            self.known.update(zip(part, self._ids(part), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) if words is not None else self._ids([t])[0] for words, t in zip(split, texts, strict=True)]
+        self.words = _Words(_Parts(self.tokenizer.model, CACHE_WORDS // 2), CACHE_WORDS)
+
+    def encode(self, text: str) -> bytes:
+        if text.isascii():
+            plain = "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f")
+        else:
+            plain = not _UNSURE.search(text) and unicodedata.is_normalized("NFC", text)
+        if plain:
+            return b"".join(map(self.words.__getitem__, text.lower().split()))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder a Python worker, kept from task to task; its words are bounded."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -77,14 +112,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = Encoder(tokenizer_path), defaultdict(int)
+        encode, seen = encoder(tokenizer_path).encode, defaultdict(int)
         part = TaskContext.get().partitionId()
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 ids, texts = (batch.column(c).slice(low, 500).to_pylist() for c in ("doc_id", "text"))
                 out: list[tuple] = []
-                for doc, data in zip(ids, encoder.many([t or "" for t in texts]), strict=True):
-                    data += end
+                for doc, text in zip(ids, texts, strict=True):
+                    data = encode(text or "") + end
                     for k in range(0, len(data), 4 * capacity):
                         own = data[k : k + 4 * capacity]
                         n = len(own) // 4
