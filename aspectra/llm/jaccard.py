@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark import components, materialize, shuffle_width
-from .words import distinct_sets, mix, shingle_hashes
+from .words import distinct_sets, mix, shingle_hashes, sliced
 
 _U = np.uint64
 BATCH = 1000
@@ -139,10 +139,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _slices(batches: Iterator[pa.RecordBatch], width: int, rows: int = BATCH) -> Iterator[tuple[list, list[np.ndarray]]]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            part = batch.slice(k, rows)
-            yield part.column("doc_id").to_pylist(), list(distinct_sets(*shingle_hashes(part.column("text"), width, fold=True)))
+    for part in sliced(batches, rows=rows):
+        yield part.column("doc_id").to_pylist(), list(distinct_sets(*shingle_hashes(part.column("text"), width, fold=True)))
 
 
 def _named_sets(docs: DataFrame, width: int) -> DataFrame:

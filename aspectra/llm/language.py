@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import utf8
+from .words import sliced, utf8
 
 WINDOW = 64
 HIDDEN = 8
@@ -191,21 +191,19 @@ def predict(docs: DataFrame, net: BiGru | None, langs: list[str]) -> DataFrame:
     """(doc_id, lang_pred, score) of every row of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, 500):
-                batch = whole.slice(low, 500)
-                found = np.array([bool(_LETTER.search(t)) for t in batch.column("text").to_pylist()], bool)
-                if net is None:
-                    found[:] = False
-                p = pooled(net, batch.column("text"), len(langs)) if net is not None else np.zeros((len(found), 1))
-                best = p.argmax(1)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": batch.column("doc_id"),
-                        "lang_pred": pa.array([langs[b] if f else "und" for b, f in zip(best, found, strict=True)], pa.string()),
-                        "score": pa.array(np.where(found, np.clip(p[np.arange(len(best)), best], 0, 1), 0.0)),
-                    }
-                )
+        for batch in sliced(batches):
+            found = np.array([bool(_LETTER.search(t)) for t in batch.column("text").to_pylist()], bool)
+            if net is None:
+                found[:] = False
+            p = pooled(net, batch.column("text"), len(langs)) if net is not None else np.zeros((len(found), 1))
+            best = p.argmax(1)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": batch.column("doc_id"),
+                    "lang_pred": pa.array([langs[b] if f else "und" for b, f in zip(best, found, strict=True)], pa.string()),
+                    "score": pa.array(np.where(found, np.clip(p[np.arange(len(best)), best], 0, 1), 0.0)),
+                }
+            )
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return own.mapInArrow(run, "doc_id long, lang_pred string, score double")

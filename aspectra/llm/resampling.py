@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .spark import materialize
-from .words import mix, text_words
+from .words import mix, sliced, text_words
 
 BUCKETS = 1 << 16
 SAMPLE = 20_000
@@ -71,7 +71,7 @@ def log_ratios(docs: DataFrame, good: np.ndarray) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             own, text = features(batch.column("text"))
             raw += np.bincount(own, minlength=BUCKETS)
             chosen = np.isin(batch.column("doc_id").to_numpy(zero_copy_only=False), good)
@@ -110,7 +110,7 @@ def score(docs: DataFrame, ratios: np.ndarray, seed: int = 0, keep: list[str] |
         frame = _named(docs)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "_text" if keep is not None else "text"):
             m = means(batch.column("_text" if keep is not None else "text"), ratios)
             ids = batch.column("_id" if keep is not None else "doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
             draw = np.rint((SHARPNESS * m + gumbel(ids, seed)) * SCALE).astype(np.int64)
@@ -155,3 +155,17 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     """The documents drawn: doc_id (or ``keep``), log_ratio, draw."""
     ratios = log_ratios(docs, good_ids(labels))
     return select(materialize(score(docs, ratios, seed, keep), "scored"), k)
+
+
+def filter_documents(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
+    """The rows of ``docs`` that are drawn, with their columns; texts are scored twice rather than moved."""
+    ratios = log_ratios(docs, good_ids(labels))
+    small = materialize(score(docs, ratios, seed), "scored")
+    k = small.where(F.col("log_ratio") >= LEAST).count()
+    if k == 0:
+        return docs.where("false")
+    value, ties = kth_largest(small, "draw", k)
+    whole = score(docs, ratios, seed, docs.columns)
+    if ties == small.where(F.col("draw") == value).count():
+        return whole.where(F.col("draw") >= value).select(docs.columns)
+    return select(whole, k).select(docs.columns)

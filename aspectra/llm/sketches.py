@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark import shuffle_width
-from .words import distinct_sets, shingle_hashes
+from .words import distinct_sets, shingle_hashes, sliced
 
 WIDTH = 5
 K = 256
@@ -163,7 +163,7 @@ def against_neighbours(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataF
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, list] | None = None
         own: list[np.ndarray] = []
-        for batch in batches:
+        for batch in sliced(batches):
             got = {c: batch.column(c).to_pylist() for c in ("bucket", "guest", "doc_id", "text")}
             prints = sketches(batch.column("text"), width, k)
             if kept:

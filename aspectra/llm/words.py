@@ -56,6 +56,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], raw[at[0] : at[-1]]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 22, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of bounded rows and bytes of text; a longer text is a slice of its own."""
+    for batch in batches:
+        at, _ = utf8(batch.column(text))
+        k, n = 0, batch.num_rows
+        while k < n:
+            end = min(k + rows, max(k + 1, int(np.searchsorted(at, at[k] + most, "right")) - 1))
+            yield batch.slice(k, end - k)
+            k = end
+
+
 def _hashed(raw: np.ndarray, at: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, text number, start and end of each word of a block."""
     inside = ~_SPACE[raw]
