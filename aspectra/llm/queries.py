@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_jaccard, q_language, q_mixing, q_mtree, q_packing, q_resampling, q_secrets, q_sketches, q_warc
+from . import q_jaccard, q_language, q_mixing, q_mtree, q_packing, q_resampling, q_secrets, q_sketches, q_suffixes, q_warc
 
-_MODULES = (q_mixing, q_resampling, q_sketches, q_warc, q_secrets, q_language, q_mtree, q_jaccard, q_packing)
+_MODULES = (q_mixing, q_resampling, q_sketches, q_suffixes, q_warc, q_secrets, q_language, q_mtree, q_jaccard, q_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
