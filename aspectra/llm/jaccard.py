@@ -44,7 +44,7 @@ from .words import distinct_sets, mix, shingle_hashes, sliced
 _U = np.uint64
 BATCH = 1000
 BLOCK_MEMBERS = 1024
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 4_000_000
 BROADCAST_IDS = 500_000
 
 
@@ -103,31 +103,41 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * inter >= num * (len(a) + len(b) - inter)
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """One bitmap a set, about eight bits a shingle of the largest, 256 to 8192."""
-    width = min(8192, max(256, 1 << (8 * max(map(len, sets), default=1) - 1).bit_length()))
-    bits = np.zeros((len(sets), width), np.uint8)
-    for row, s in zip(bits, sets, strict=True):
-        row[(s & _U(width - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, axis=1).view(_U)
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Bits at the hashed places of a set, eight a shingle or more: 256 bits at least, a power of two."""
+    width = max(256, 1 << (8 * len(s) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[(s & _U(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(_U)
+
+
+def folded(maps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps as rows of the least width: the halves of a wider one laid on each other."""
+    least = min(map(len, maps))
+    return np.array([np.bitwise_or.reduce(m.reshape(-1, least), axis=0) for m in maps])
+
+
+def hopeful(maps: np.ndarray, size: np.ndarray, i: int, js: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Those of ``js`` that may link with ``i``: bits of one that the other lacks are shingles that it lacks."""
+    js = js[(size[js] * num <= size[i] * den) & (size[i] * num <= size[js] * den)]
+    if not len(js):
+        return js
+    lacks = np.bitwise_count(maps[i] & ~maps[js]).sum(1, dtype=np.int64), np.bitwise_count(maps[js] & ~maps[i]).sum(1, dtype=np.int64)
+    most = np.minimum(size[i] - lacks[0], size[js] - lacks[1])
+    return js[den * most >= num * (size[i] + size[js] - most)]
 
 
 def links_between(sets: list[np.ndarray], comps: list[int], split: int | None, num: int, den: int) -> list[tuple[int, int]]:
     """Links that join components: positions of pairs (of the first ``split`` with the rest, or of all), at most one for each joining."""
-    maps = bitmaps(sets)
+    if not sets:
+        return []
+    maps = folded([bitmap(s) for s in sets])
     size = np.array([len(s) for s in sets])
     comp = np.unique(np.array(comps), return_inverse=True)[1]
     found = []
     for i in range(split if split is not None else len(sets)):
         low = split if split is not None else i + 1
-        js = low + np.flatnonzero(comp[low:] != comp[i])
-        js = js[(size[js] * num <= size[i] * den) & (size[i] * num <= size[js] * den)]
-        if not len(js):
-            continue
-        most = np.minimum(
-            size[i] - np.bitwise_count(maps[i] & ~maps[js]).sum(1, dtype=np.int64), size[js] - np.bitwise_count(maps[js] & ~maps[i]).sum(1, dtype=np.int64)
-        )
-        for j in js[den * most >= num * (size[i] + size[js] - most)]:
+        for j in hopeful(maps, size, i, low + np.flatnonzero(comp[low:] != comp[i]), num, den):
             if comp[j] != comp[i] and linked(sets[i], sets[j], num, den):
                 found.append((i, int(j)))
                 comp[comp == comp[j]] = comp[i]
@@ -208,16 +218,16 @@ def _shared_tiles(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
 
 
 def _arrays(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, shingles): the sorted sets of the documents named in ``ids(id)``."""
+    """(id, shingles, bits): sorted sets and bitmaps of the documents named in ``ids(id)``; a doc_id that repeats gives each of its rows."""
     named = ids.withColumnRenamed("id", "doc_id")
     chosen = _texts(docs).join(F.broadcast(named) if named.count() <= BROADCAST_IDS else named, "doc_id", "left_semi")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, sets in _slices(batches, width, 200):
-            yield pa.RecordBatch.from_pydict({"id": pa.array(own, pa.int64()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+            columns = [pa.array(own, pa.int64()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (sets, map(bitmap, sets)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "shingles", "bits"])
 
-    # Rows with one doc_id and different texts keep one set each; a pair is then tried with every one.
-    return chosen.mapInArrow(made, "id long, shingles binary").distinct()
+    return chosen.mapInArrow(made, "id long, shingles binary, bits binary")
 
 
 def _tried(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame:
@@ -237,25 +247,41 @@ def _tried(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _within_tiles(members: DataFrame, arrays: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between components in tiles: ``members(tile, id, comp)`` of tiles that span several."""
+    """Links between components in tiles: ``members(tile, id, comp)`` of tiles that span several.
+
+    Bitmaps are compared first, block by block; sets are only sent of members
+    that may still link with another component.
+    """
     sized = members.join(sizes, "id")
     blocks = sized.groupBy("tile").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("total"))
     blocks = blocks.select("tile", F.greatest(F.ceil(F.col("m") / BLOCK_MEMBERS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "tile").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = sized.join(blocks, "tile").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.select("tile", "id", "comp", "block", other.alias("other"))
-    dealt = dealt.select("tile", "id", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(arrays, "id")
+    dealt = dealt.select("tile", "id", "comp", "n_shingles", "block", other.alias("other"))
+    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other").join(arrays.select("id", "bits"), "id")
+
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+        maps = folded([np.frombuffer(x, _U) for x in pdf["bits"]])
+        size, block = pdf["n_shingles"].to_numpy(), pdf["block"].to_numpy()
+        comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)[1]
+        one, live, every = int(pdf["i"].iloc[0]) == int(pdf["j"].iloc[0]), np.zeros(len(pdf), bool), np.arange(len(pdf))
+        for i in every:
+            js = hopeful(maps, size, i, np.flatnonzero((comp != comp[i]) & (every > i) & (one | (block != block[i]))), num, den)
+            if len(js):
+                live[i] = live[js] = True
+        return pdf.loc[live, ["tile", "i", "j", "id", "comp"]]
+
+    live = dealt.groupBy("tile", "i", "j").applyInPandas(bound, "tile long, i int, j int, id long, comp long")
+    live = materialize(live.select(F.xxhash64("tile", "i", "j").alias("unit"), "id", "comp"), "live")
+    summed = live.groupBy("unit").agg(F.count("*").alias("m"), F.sum(F.hash("id").cast("long")).alias("check"), F.min("id").alias("least"))
+    unlike = summed.groupBy("m", "check", "least").agg(F.min("unit").alias("unit")).select("unit")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "id"], kind="stable")
-        sets = [np.frombuffer(x, _U) for x in pdf["shingles"]]
-        first, last = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        split = None if first == last else int((pdf["block"] == first).sum())
-        ids = pdf["id"].tolist()
-        found = links_between(sets, pdf["comp"].tolist(), split, num, den)
+        sets, ids = [np.frombuffer(x, _U) for x in pdf["shingles"]], pdf["id"].tolist()
+        found = links_between(sets, pdf["comp"].tolist(), None, num, den)
         return pd.DataFrame([(ids[a], ids[b]) for a, b in found], columns=["a", "b"]).astype("int64")
 
-    return dealt.groupBy("tile", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return live.join(unlike, "unit").join(arrays.select("id", "shingles"), "id").groupBy("unit").applyInPandas(compare, "a long, b long").distinct()
 
 
 def link_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
