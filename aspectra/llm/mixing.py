@@ -35,7 +35,7 @@ BROADCAST_CELLS = 50_000
 SALTS = 64
 BUDGET = 0.8  # expected tokens, as a share of all tokens
 #: topic: pattern that a text of it holds; the first that fits, else prose.
-TOPICS = (("tabular", r" \| "), ("contact", r"[A-Za-z0-9._]+@[A-Za-z0-9]+\.[A-Za-z]"), ("licensed", r"[Ll]icen[cs]e|LICEN[CS]E|[Cc]opyright"))
+TOPICS = (("tabular", r" \| "), ("contact", r"@[A-Za-z0-9-]+\.[A-Za-z]"), ("licensed", r"[Ll]icen[cs]e|LICEN[CS]E|[Cc]opyright"))
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -119,7 +119,11 @@ def rates(fitted: DataFrame, budget: float = BUDGET) -> DataFrame:
 
 def mix(docs: DataFrame, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with ``_topic``, ``_tokens``, ``rate`` and ``drawn``; columns of these names are replaced."""
-    own = described(docs.drop("rate", "drawn"))
+    return mix_described(described(docs.drop("rate", "drawn")), budget, rounds)
+
+
+def mix_described(own: DataFrame, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
+    """:func:`mix` of documents that :func:`described` has seen; they need no text any more."""
     cells = own.groupBy(*[F.col(f"_{m}").alias(m) for m in MARGINS]).agg(F.sum("_tokens").alias("n"))
     fitted = rates(rake(materialize(cells, "cells"), rounds), budget)
     rate = fitted.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], "rate")

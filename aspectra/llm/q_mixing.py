@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing as M
-from .spark import table
+from .spark import materialize, table
 
 
 def op1_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    return M.mix(docs).selectExpr("doc_id", "_source AS source", "_lang AS lang", "_topic AS topic", "_tokens AS n_tokens", "rate", "drawn")
+    seen = materialize(M.described(docs).drop("text"), "described")  # every text is read once
+    return M.mix_described(seen).selectExpr("doc_id", "_source AS source", "_lang AS lang", "_topic AS topic", "_tokens AS n_tokens", "rate", "drawn")
 
 
 def mix_sql(docs: str = "documents", budget: float = M.BUDGET) -> str:
