@@ -7,11 +7,13 @@ columns that they were given.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aspectra import ship
 from aspectra.llm import jaccard, mixing, packing, resampling, secrets
 from aspectra.llm.q_packing import tokenizer_path
 from aspectra.llm.spark import materialize, table
@@ -48,12 +50,26 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality", quality),
-    ("near_duplicates", near_duplicates),
-    ("secret_scan", secret_scan),
-    ("mix_sources", mix_sources),
-    ("pack", pack),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _shipped(stage: Stage) -> Stage:
+    """The stage, run once the package is with the session's workers."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship.ensure(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", _shipped(quality)),
+    ("near_duplicates", _shipped(near_duplicates)),
+    ("secret_scan", _shipped(secret_scan)),
+    ("mix_sources", _shipped(mix_sources)),
+    ("pack", _shipped(pack)),
 ]
 #: A trained classifier and an exact near-duplicate join over all texts are not expressed in SQL.
 ORACLE_SQL = None
