@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import CountVectorizer, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,3 +112,37 @@ def tag(words: DataFrame, alpha: float = 0.1) -> DataFrame:
         return pd.DataFrame({"sent": pdf["sent"], "pos": pdf["pos"], "tag": pdf["tag"], "predicted": [tags[k] for k in path]})
 
     return rows.groupBy("sent").applyInPandas(decode, "sent string, pos int, tag string, predicted string")
+
+
+def svd(df: DataFrame, key: str, text: str, k: int, vocabulary: int) -> DataFrame:
+    """(key, features): count vectors times the ``k`` largest right singular vectors.
+
+    The Gram matrix, ``vocabulary`` squared, is summed up over the partitions; its
+    eigenvectors give the projection, which the rows are multiplied with where they are.
+    """
+    words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\s+")
+    counted = Pipeline(stages=[words, CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=vocabulary, minDF=2)]).fit(df).transform(df)
+    rows = counted.select(F.col(key), vector_to_array("_counts").alias("_row"))
+
+    def gram(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in parts:
+            x = np.array(pdf["_row"].to_list())
+            total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pd.DataFrame({"i": range(len(total)), "g": list(total)})
+
+    sums = rows.select("_row").mapInPandas(gram, "i int, g array<double>").select("i", F.posexplode("g").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    cells = sums.toPandas()  # vocabulary squared, a parameter
+    if cells.empty:
+        return df.select(key, F.array().cast("array<double>").alias("features")).limit(0)
+    n = int(cells["i"].max()) + 1
+    matrix = np.zeros((n, n))
+    matrix[cells["i"], cells["j"]] = cells["v"]
+    basis = np.linalg.eigh(matrix)[1][:, ::-1][:, :k]
+
+    @F.pandas_udf("array<double>")
+    def project(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.array(x.to_list()) @ basis))
+
+    return rows.select(key, project("_row").alias("features"))
