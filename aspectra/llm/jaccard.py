@@ -38,11 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import components, materialize, shuffle_width
-from .words import distinct_sets, mix, shingle_hashes, sliced
+from .spark import components, materialize, release, shuffle_width
+from .words import distinct_sets, mix, packed, shingle_hashes, sliced, unpacked
 
 _U = np.uint64
+_BAND = _U(127)  # the bits of a tile that hold its band
 BATCH = 1000
+LARGE_TILE = 12
 BLOCK_MEMBERS = 1024
 BLOCK_SHINGLES = 4_000_000
 BROADCAST_IDS = 500_000
@@ -87,9 +89,18 @@ class Bands:
             if k - int(np.count_nonzero(use)) >= k - self.difference(band):
                 use[:] = True
             place = np.flatnonzero(use)
-            out.append(mix(total[place] + mix((place + (band << 40)).astype(_U))))
+            out.append((mix(total[place] + mix((place + (band << 40)).astype(_U))) & ~_BAND) | _U(band))
         return np.concatenate(out) if out else np.zeros(0, _U)
 
+    def slack(self, s: np.ndarray) -> list[tuple[int, int]]:
+        """(band, n): a linked partner shares a tile of the band with this set even without any n of its tiles there."""
+        out = []
+        for band in self.of(len(s)) if len(s) else ():
+            k = self.parts(band)
+            filled = len(np.unique(((s >> _U(32)) * _U(k)) >> _U(32)))
+            out.append((band, max(0, k - self.difference(band) - 1 - (k - filled))))
+        return out
+
 
 def digest(s: np.ndarray) -> tuple[int, int]:
     """Two 63-bit sums that name a set."""
@@ -153,14 +164,32 @@ def _slices(batches: Iterator[pa.RecordBatch], width: int, rows: int = BATCH) ->
         yield part.column("doc_id").to_pylist(), list(distinct_sets(*shingle_hashes(part.column("text"), width, fold=True)))
 
 
-def _named_sets(docs: DataFrame, width: int) -> DataFrame:
+def _named_sets(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _slices(batches, width):
             names = [digest(s) for s in sets]
             columns = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(list(c), pa.int64()) for c in zip(*names, strict=True))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "d1", "d2"])
+            slack = [[{"band": b, "slack": n} for b, n in bands.slack(s)] for s in sets]
+            columns.append(pa.array(slack, pa.list_(pa.struct([("band", pa.int64()), ("slack", pa.int64())]))))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "d1", "d2", "slack"])
 
-    return _texts(docs).mapInArrow(named, "doc_id long, n_shingles long, d1 long, d2 long")
+    return _texts(docs).mapInArrow(named, "doc_id long, n_shingles long, d1 long, d2 long, slack array<struct<band:long,slack:long>>")
+
+
+def _needed(tiles: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members of ``tiles(tile, id)`` that must be compared there.
+
+    Linked sets share several tiles of a band, a number that the band and the
+    empty parts give.  A class with fewer of its tiles large than that is sure to
+    meet each of its partners in a small tile, and leaves the large ones.  So
+    tiles that a common passage makes empty themselves, and no link is lost.
+    """
+    large = tiles.groupBy("tile").agg(F.count("*").alias("m")).where(F.col("m") > LARGE_TILE).select("tile")
+    inside = materialize(tiles.join(large, "tile").withColumn("band", F.col("tile").bitwiseAND(F.lit(127))), "large-tiles")
+    slack = classes.select("id", F.explode("slack").alias("s")).select("id", "s.band", "s.slack")
+    unsure = inside.groupBy("id", "band").agg(F.count("*").alias("n")).join(slack, ["id", "band"]).where("n > slack").select("id", "band")
+    kept = inside.join(unsure, ["id", "band"], "left_semi").select("tile", "id")
+    return tiles.join(large, "tile", "left_anti").select("tile", "id").unionByName(kept)
 
 
 def _shared_tiles(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
@@ -172,7 +201,8 @@ def _shared_tiles(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
         for _, sets in _slices(batches, width):
             own = [bands.signatures(s) for s in sets]
             tile = np.concatenate(own)
-            name = np.repeat(np.array([digest(s)[0] for s in sets], np.int64), [len(x) for x in own])
+            names, number = np.unique(np.array([digest(s)[0] for s in sets], np.int64), return_inverse=True)
+            name = np.repeat(number, [len(x) for x in own]).astype(np.uint16)  # a batch has at most BATCH classes
             order = np.lexsort((name, tile))
             tile, name = tile[order], name[order]
             new_tile = np.ones(len(tile), bool)
@@ -187,21 +217,19 @@ def _shared_tiles(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
             starts = np.concatenate([[0], ends[:-1]])
             full = np.flatnonzero(ends > starts)
             rest = ~alone
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "bucket": pa.array(full, pa.int32()),
-                    "tiles": pa.array([tile[a:b][first[a:b]].tobytes() for a, b in zip(starts[full], ends[full], strict=True)], pa.binary()),
-                    "names": pa.array([name[a:b][first[a:b]].tobytes() for a, b in zip(starts[full], ends[full], strict=True)], pa.binary()),
-                    "near_tiles": pa.array([tile[a:b][rest[a:b]].tobytes() for a, b in zip(starts[full], ends[full], strict=True)], pa.binary()),
-                    "near_names": pa.array([name[a:b][rest[a:b]].tobytes() for a, b in zip(starts[full], ends[full], strict=True)], pa.binary()),
-                }
-            )
+            many = zip(starts[full], ends[full], strict=True)
+            rows = [(packed(tile[a:b][first[a:b]]), name[a:b][first[a:b]].tobytes(), packed(tile[a:b][rest[a:b]]), name[a:b][rest[a:b]].tobytes()) for a, b in many]
+            blobs = [pa.array(list(c), pa.binary()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.binary())] * 4
+            classes = pa.array([names.tobytes()] * len(rows), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *blobs, classes], names=["bucket", "tiles", "names", "near_tiles", "near_names", "classes"])
 
     def meet(group: pa.Table) -> pa.Table:
-        def joined(c: str, kind: type) -> np.ndarray:
-            return np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in group.column(c)), kind)
+        def joined(tiles: str, names: str) -> tuple[np.ndarray, np.ndarray]:
+            each = zip(*(group.column(c).to_pylist() for c in (tiles, names, "classes")), strict=True)
+            parts = [(unpacked(t), np.frombuffer(c, np.int64)[np.frombuffer(n, np.uint16)]) for t, n, c in each]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
-        tile, name = joined("tiles", _U), joined("names", np.int64)
+        tile, name = joined("tiles", "names")
         order = np.argsort(tile, kind="stable")
         tile, name = tile[order], name[order]
         start = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])) if len(tile) else np.zeros(0, np.int64)
@@ -209,11 +237,11 @@ def _shared_tiles(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
         if len(start):
             several = np.minimum.reduceat(name, start) != np.maximum.reduceat(name, start)
         keep = np.repeat(several, np.diff(np.append(start, len(tile))))
-        tile = np.concatenate([tile[keep], joined("near_tiles", _U)])
-        name = np.concatenate([name[keep], joined("near_names", np.int64)])
+        near = joined("near_tiles", "near_names")
+        tile, name = np.concatenate([tile[keep], near[0]]), np.concatenate([name[keep], near[1]])
         return pa.table({"tile": pa.array(tile.view(np.int64)), "d1": pa.array(name)})
 
-    dealt = _texts(docs).mapInArrow(cut, "bucket int, tiles binary, names binary, near_tiles binary, near_names binary")
+    dealt = _texts(docs).mapInArrow(cut, "bucket int, tiles binary, names binary, near_tiles binary, near_names binary, classes binary")
     return dealt.groupBy("bucket").applyInArrow(meet, "tile long, d1 long").distinct()
 
 
@@ -246,8 +274,8 @@ def _tried(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(tried, "a long, b long").distinct()
 
 
-def _within_tiles(members: DataFrame, arrays: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between components in tiles: ``members(tile, id, comp)`` of tiles that span several.
+def _within_large(members: DataFrame, arrays: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between components in tiles of any size, ``members(tile, id, comp)``.
 
     Bitmaps are compared first, block by block; sets are only sent of members
     that may still link with another component.
@@ -272,6 +300,7 @@ def _within_tiles(members: DataFrame, arrays: DataFrame, sizes: DataFrame, num:
         return pdf.loc[live, ["tile", "i", "j", "id", "comp"]]
 
     live = dealt.groupBy("tile", "i", "j").applyInPandas(bound, "tile long, i int, j int, id long, comp long")
+    release(members.sparkSession)
     live = materialize(live.select(F.xxhash64("tile", "i", "j").alias("unit"), "id", "comp"), "live")
     summed = live.groupBy("unit").agg(F.count("*").alias("m"), F.sum(F.hash("id").cast("long")).alias("check"), F.min("id").alias("least"))
     unlike = summed.groupBy("m", "check", "least").agg(F.min("unit").alias("unit")).select("unit")
@@ -281,22 +310,69 @@ def _within_tiles(members: DataFrame, arrays: DataFrame, sizes: DataFrame, num:
         found = links_between(sets, pdf["comp"].tolist(), None, num, den)
         return pd.DataFrame([(ids[a], ids[b]) for a, b in found], columns=["a", "b"]).astype("int64")
 
-    return live.join(unlike, "unit").join(arrays.select("id", "shingles"), "id").groupBy("unit").applyInPandas(compare, "a long, b long").distinct()
+    # Units that share members form a cluster; where that is small, each of its sets is sent once.
+    live = live.join(unlike, "unit")
+    stars = live.join(summed.select("unit", "least"), "unit").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    label = components(stars)
+    clustered = live.join(label, "id").join(sizes, "id")
+    own = clustered.select("label", "id", "comp", "n_shingles").distinct()
+    small = own.groupBy("label").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("total")).where((F.col("m") <= 2 * BLOCK_MEMBERS) & (F.col("total") <= BLOCK_SHINGLES)).select("label")
+    groups = own.join(small, "label").select(F.col("label").alias("unit"), "id", "comp")
+    rest = clustered.join(small, "label", "left_anti").select("unit", "id", "comp")
+    return groups.union(rest).join(arrays.select("id", "shingles"), "id").groupBy("unit").applyInPandas(compare, "a long, b long").distinct()
+
+
+def _within_small(members: DataFrame, arrays: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between components in tiles of at most LARGE_TILE members: the distinct pairs, by size, then bitmap, then exactly."""
+    cell = lambda x, y: F.struct(x["id"].alias("a"), y["id"].alias("b"))
+    later = lambda x: F.filter("g", lambda y: (y["id"] > x["id"]) & (y["comp"] != x["comp"]))
+    pairs = F.flatten(F.transform("g", lambda x: F.transform(later(x), lambda y: cell(x, y))))
+    pairs = members.groupBy("tile").agg(F.collect_list(F.struct("id", "comp")).alias("g")).select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+    size = lambda n: sizes.select(F.col("id").alias(n), F.col("n_shingles").alias(f"n{n}"))
+    near = (F.col("na") * num <= F.col("nb") * den) & (F.col("nb") * num <= F.col("na") * den)
+    pairs = pairs.join(size("b"), "b").join(size("a"), "a").where(near)
+    bits = lambda n: arrays.select(F.col("id").alias(n), F.col("bits").alias(f"m{n}"))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, m, n in zip(*(batch.column(c).to_pylist() for c in ("ma", "mb", "na", "nb")), strict=True):
+                maps = folded([np.frombuffer(x, _U), np.frombuffer(y, _U)])
+                keep.append(len(hopeful(maps, np.array([m, n]), 0, np.array([1]), num, den)) > 0)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    live = pairs.join(bits("b"), "b").join(bits("a"), "a").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(bound, "a long, b long")
+    live = materialize(live.distinct(), "live-pairs")
+    release(members.sparkSession)
+    return _tried(live, arrays, num, den)
+
+
+def _within_tiles(members: DataFrame, arrays: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between components in tiles that span several."""
+    large = members.groupBy("tile").agg(F.count("*").alias("m")).where(F.col("m") > LARGE_TILE).select("tile")
+    few = _within_small(members.join(large, "tile", "left_anti"), arrays, sizes, num, den)
+    many = members.join(large, "tile", "left_semi")
+    return few if many.isEmpty() else few.union(_within_large(many, arrays, sizes, num, den)).distinct()
 
 
 def link_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id): components of the documents under links; all rows of ``docs``, rows without doc_id left out."""
     docs = docs.where("doc_id is not null")
-    sets = materialize(_named_sets(docs, width), "sets")
-    classes = materialize(sets.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles")), "classes")
-    tiles = _shared_tiles(docs, width, Bands(num, den)).join(classes.select("d1", "id"), "d1").select("tile", "id")
+    bands = Bands(num, den)
+    sets = materialize(_named_sets(docs, width, bands), "sets")
+    of_class = [F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles"), F.min("slack").alias("slack")]
+    classes = materialize(sets.where("n_shingles > 0").groupBy("d1", "d2").agg(*of_class), "classes")
+    tiles = _shared_tiles(docs, width, bands).join(classes.select("d1", "id"), "d1").select("tile", "id")
     tiles = materialize(tiles, "tiles")
-    summed = tiles.groupBy("tile").agg(F.count("*").alias("m"), F.sum(F.hash("id").cast("long")).alias("check"), F.min("id").alias("least"))
+    release(docs.sparkSession)
+    tiles = materialize(_needed(tiles, classes), "needed-tiles")
+    summed = tiles.groupBy("tile").agg(F.count("*").alias("m"), F.sum(F.hash("id").cast("long")).alias("check"), F.min("id").alias("least")).where("m > 1")
     unlike = summed.groupBy("m", "check", "least").agg(F.min("tile").alias("tile"))  # of tiles with the same members one
     tiles = materialize(tiles.join(unlike.select("tile", "least"), "tile"), "unlike-tiles")
     pairs = tiles.groupBy("id").agg(F.min("least").alias("b")).where("id <> b").select(F.col("id").alias("a"), "b")
     arrays = materialize(_arrays(docs, tiles.select("id").distinct(), width), "arrays")
     links = materialize(_tried(pairs, arrays, num, den), "links")
+    release(docs.sparkSession)
     label = components(links)
     placed = tiles.join(label, "id", "left").select("tile", "id", F.coalesce("label", "id").alias("comp"))
     open_tiles = placed.groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("tile")

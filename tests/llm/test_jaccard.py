@@ -75,9 +75,11 @@ def test_odd(spark):
     assert jaccard.link_components(one.limit(0)).count() == 0
 
 
-def test_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("large", [2, 12])
+def test_blocks(spark, monkeypatch, large):
     """Tiles that take several blocks give the same links."""
     monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", 3)
+    monkeypatch.setattr(jaccard, "LARGE_TILE", large)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     rows = []
