@@ -35,6 +35,7 @@ SHARPNESS = 200.0
 LEAST = -0.25
 PRIOR = 16  # features without evidence that each text is credited with
 SCALE = 1_000_000
+BROADCAST_IDS = 500_000
 _U = np.uint64
 
 
@@ -71,7 +72,7 @@ def log_ratios(docs: DataFrame, good: np.ndarray) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=1 << 20):
             own, text = features(batch.column("text"))
             raw += np.bincount(own, minlength=BUCKETS)
             chosen = np.isin(batch.column("doc_id").to_numpy(zero_copy_only=False), good)
@@ -99,26 +100,20 @@ def gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
     return -np.log(-np.log(u / (1 << 53)))
 
 
-SCORE_SCHEMA = "doc_id long, log_ratio double, draw long"
+SCORE_SCHEMA = "doc_id long, text_hash long, log_ratio double, draw long"
 
 
-def score(docs: DataFrame, ratios: np.ndarray, seed: int = 0, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, log_ratio and draw (log weight plus noise, in whole millionths); ``keep``: further columns that stay."""
-    if keep is not None:
-        frame = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.coalesce("text", F.lit(""))})
-    else:
-        frame = _named(docs)
+def score(docs: DataFrame, ratios: np.ndarray, seed: int = 0) -> DataFrame:
+    """doc_id, text_hash, log_ratio and draw (log weight plus noise, in whole millionths) of every row; texts do not come back."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text" if keep is not None else "text"):
-            m = means(batch.column("_text" if keep is not None else "text"), ratios)
-            ids = batch.column("_id" if keep is not None else "doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
+        for batch in sliced(batches, most=1 << 20):
+            m = means(batch.column("text"), ratios)
+            ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
             draw = np.rint((SHARPNESS * m + gumbel(ids, seed)) * SCALE).astype(np.int64)
-            first = [batch.column(c) for c in (keep or ["doc_id"])]
-            yield pa.RecordBatch.from_arrays([*first, pa.array(m), pa.array(draw)], names=[*(keep or ["doc_id"]), "log_ratio", "draw"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(m), pa.array(draw)], names=["doc_id", "text_hash", "log_ratio", "draw"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) if keep is not None else "doc_id long"
-    return frame.mapInArrow(scored, f"{kinds}, log_ratio double, draw long")
+    return _named(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(scored, SCORE_SCHEMA)
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> tuple[int, int]:
@@ -151,21 +146,24 @@ def select(scored: DataFrame, k: int | None = None, least: float = LEAST) -> Dat
     return above.unionByName(equal.where(F.col("_n") <= ties).drop("_n"))
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 0, keep: list[str] | None = None) -> DataFrame:
-    """The documents drawn: doc_id (or ``keep``), log_ratio, draw."""
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 0) -> DataFrame:
+    """The documents drawn: doc_id, log_ratio, draw."""
     ratios = log_ratios(docs, good_ids(labels))
-    return select(materialize(score(docs, ratios, seed, keep), "scored"), k)
+    return select(materialize(score(docs, ratios, seed), "scored"), k).drop("text_hash")
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
-    """The rows of ``docs`` that are drawn, with their columns; texts are scored twice rather than moved."""
-    ratios = log_ratios(docs, good_ids(labels))
-    small = materialize(score(docs, ratios, seed), "scored")
+    """The rows of ``docs`` that are drawn, with their columns; all rows whose key equals the k-th stay.
+
+    Only keys of rejected rows meet the documents, broadcast where their number is
+    within ``BROADCAST_IDS`` and joined by key otherwise.
+    """
+    small = materialize(score(docs, log_ratios(docs, good_ids(labels)), seed), "scored")
     k = small.where(F.col("log_ratio") >= LEAST).count()
     if k == 0:
         return docs.where("false")
-    value, ties = kth_largest(small, "draw", k)
-    whole = score(docs, ratios, seed, docs.columns)
-    if ties == small.where(F.col("draw") == value).count():
-        return whole.where(F.col("draw") >= value).select(docs.columns)
-    return select(whole, k).select(docs.columns)
+    value, _ = kth_largest(small, "draw", k)
+    gone = small.where(F.col("draw") < value).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return keyed.join(gone, ["_id", "_hash"], "left_anti").select(docs.columns)

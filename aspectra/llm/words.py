@@ -8,13 +8,15 @@ so any retry of a task gives the same values.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -56,7 +58,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], raw[at[0] : at[-1]]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 22, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def trim() -> None:
+    """Hand free memory back, for a worker stays on after its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 21, rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of bounded rows and bytes of text; a longer text is a slice of its own."""
     for batch in batches:
         at, _ = utf8(batch.column(text))
@@ -65,6 +74,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1
             end = min(k + rows, max(k + 1, int(np.searchsorted(at, at[k] + most, "right")) - 1))
             yield batch.slice(k, end - k)
             k = end
+    trim()
 
 
 def _hashed(raw: np.ndarray, at: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -167,3 +177,12 @@ def distinct_sets(hashes: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]
             np.not_equal(s[1:], s[:-1], out=keep[1:])
             s = s[keep]
         yield s
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as differences, their bytes transposed so that empty high bytes squeeze."""
+    return np.diff(x, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(_U).ravel(), dtype=_U)

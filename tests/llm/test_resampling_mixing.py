@@ -42,7 +42,8 @@ def test_resample_odd(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert resampling.resample(df, none).count() == 5
     assert resampling.resample(df, none, k=2).count() == 2
-    assert resampling.resample(df, none, keep=df.columns).columns == [*df.columns, "log_ratio", "draw"]
+    assert resampling.filter_documents(df, none).columns == df.columns and resampling.filter_documents(df, none).count() == 5
+    assert resampling.filter_documents(df.limit(0), none).count() == 0
     assert resampling.resample(df.limit(0), none).count() == 0
 
 
