@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import shutil
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +41,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession, most: str = "16m") -> Iterator[None]:
+    """Arrow batches of at most ``most`` bytes while a table is written; the session's own setting comes back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    if before is None:  # a version without it
+        yield
+        return
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver forget finished shuffles now, so that their files go before the next ones come."""
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    for _ in range(2):  # what the first round frees lets go of the shuffles
+        gc.collect()
+        if jvm is not None:
+            jvm.System.gc()
+            time.sleep(0.3)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
