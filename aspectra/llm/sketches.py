@@ -189,5 +189,5 @@ def against_neighbours(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataF
             )
             kept, own = {c: got[c][-1:] for c in got}, prints[-1:]
 
-    n = max(2, min(4096, 2 * shuffle_width(df.sparkSession)))
+    n = max(2, 2 * shuffle_width(df.sparkSession))
     return _neighbours(df, n).mapInArrow(rows, NEIGHBOUR_SCHEMA)
