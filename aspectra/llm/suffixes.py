@@ -35,8 +35,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import materialize, shuffle_width
-from .words import mix, sliced, utf8
+from .spark import materialize, release, shuffle_width
+from .words import mix, packed, sliced, trim, unpacked, utf8
 
 LENGTH = 50
 GRAM = 24
@@ -45,20 +45,12 @@ WIDE = LENGTH + SPAN - 1
 COVER = (0, 1, 3, 9)
 PERIOD = 13
 SEGMENT = 1 << 23
-BLOCK = 1 << 16
+BLOCK = 1 << 14
+ROWS = 1 << 12
 _U = np.uint64
 _PLACE = _U((1 << 24) - 1)
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers as differences, their bytes transposed so that empty high bytes squeeze."""
-    return np.diff(x, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(_U).ravel(), dtype=_U)
-
-
 def _grams(raw: np.ndarray) -> np.ndarray:
     """Hash of the gram that starts at each byte; beyond the end zeros follow."""
     padded = np.concatenate([raw, np.zeros(GRAM + 8, np.uint8)])
@@ -124,7 +116,8 @@ class Anchored:
         use = valid[starts]
         starts, ends = starts[use], ends[use]
         text = np.searchsorted(edges, starts, "right") - 1 + first
-        return text, starts + low, ends + low, place[starts] + low, h[place[starts]]
+        # Least hashes crowd near zero; mixed once more they spread evenly over buckets.
+        return text, starts + low, ends + low, place[starts] + low, mix(h[place[starts]] + _U(0x9E3779B97F4A7C15))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -146,7 +139,7 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     shift = _U(64 - buckets.bit_length() + 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "raw", rows=4000):
+        for batch in sliced(batches, "raw", most=1 << 20, rows=4000):
             at, raw = utf8(batch.column("raw"))
             found = Anchored(at, raw)
             ids = batch.column("doc_id").to_numpy()
@@ -155,7 +148,7 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             keep = np.ones(len(x), bool)
             keep[1:] = (x[1:] != x[:-1]) | (text[1:] != text[:-1])
             x, text = x[keep], text[keep]
-            rows = [(b, _packed(x[i:j]), text[i:j].astype(np.uint16).tobytes()) for b, i, j in _split((x >> shift).astype(np.int64), buckets)]
+            rows = [(b, packed(x[i:j]), text[i:j].astype(np.uint16).tobytes()) for b, i, j in _split((x >> shift).astype(np.int64), buckets)]
             if rows:
                 b, hashes, texts = zip(*rows, strict=True)
                 names = pa.array([ids.astype(np.int64).tobytes()] * len(rows), pa.binary())
@@ -164,7 +157,7 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     def meet(group: pa.Table) -> pa.Table:
         hashes, owners = [], []
         for h, t, i in zip(*(group.column(c).to_pylist() for c in ("hashes", "texts", "ids")), strict=True):
-            hashes.append(_unpacked(h))
+            hashes.append(unpacked(h))
             owners.append(np.frombuffer(i, np.int64)[np.frombuffer(t, np.uint16)])
         x, doc = np.concatenate(hashes), np.concatenate(owners)
         order = np.argsort(x, kind="stable")
@@ -177,7 +170,7 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         x, doc = x[order], doc[order]
         start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
         end = np.append(start[1:], len(doc))[: len(start)]
-        return pa.table({"doc_id": pa.array(doc[start]), "anchors": pa.array([_packed(x[a:b]) for a, b in zip(start, end, strict=True)], pa.binary())})
+        return pa.table({"doc_id": pa.array(doc[start]), "anchors": pa.array([packed(x[a:b]) for a, b in zip(start, end, strict=True)], pa.binary())})
 
     return docs.mapInArrow(send, "bucket int, hashes binary, texts binary, ids binary").groupBy("bucket").applyInArrow(meet, "doc_id long, anchors binary")
 
@@ -186,12 +179,12 @@ CONTEXT_SCHEMA = "bucket int, hashes binary, docs binary, lows binary, sizes bin
 
 
 def contexts(joined: DataFrame, buckets: int) -> DataFrame:
-    """What ``joined(doc_id, raw, anchors)`` sends to the sort (rows with a bucket) and byte ranges already known to go (rows with a doc_id)."""
+    """What ``joined(doc_id, raw, anchors)`` sends to the sort: contexts, and (rows with a doc_id) byte ranges already known to go."""
     shift = _U(64 - buckets.bit_length() + 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in sliced(batches, "raw", rows=4000):
+        for batch in sliced(batches, "raw", most=1 << 20, rows=4000):
             at, raw = utf8(batch.column("raw"))
             ids = batch.column("doc_id").to_numpy()
             found = Anchored(at, raw)
@@ -199,7 +192,7 @@ def contexts(joined: DataFrame, buckets: int) -> DataFrame:
             bounds = np.searchsorted(found.text, np.arange(len(ids) + 1))
             for k, packs in enumerate(batch.column("anchors").to_pylist()):
                 own = slice(bounds[k], bounds[k + 1])
-                shared[own] = np.isin(found.hash[own], np.concatenate([_unpacked(p) for p in packs]))
+                shared[own] = np.isin(found.hash[own], np.concatenate([unpacked(p) for p in packs]))
             pick = np.flatnonzero(shared)
             text, low, size = found.text[pick], found.low[pick], found.high[pick] - found.low[pick] + LENGTH
             left, x = found.place[pick] - low, found.hash[pick]
@@ -218,7 +211,7 @@ def contexts(joined: DataFrame, buckets: int) -> DataFrame:
                 own = sent[i:j]
                 row = (
                     b,
-                    _packed(x[own]),
+                    packed(x[own]),
                     ids[text[own]].astype(np.int64).tobytes(),
                     (low[own] - at[text[own]]).astype(np.int64).tobytes(),
                     size[own].astype(np.uint8).tobytes(),
@@ -230,9 +223,9 @@ def contexts(joined: DataFrame, buckets: int) -> DataFrame:
                 for c, v in zip(columns, row, strict=True):
                     c.append(v)
             for t in np.unique(text[known]).tolist():
-                own = np.flatnonzero(known & (text == t)) if len(ids) < 2 else np.flatnonzero(known)[text[known] == t]
+                own = np.flatnonzero(known)[text[known] == t]
                 spans = np.column_stack([low[own] - at[t], low[own] - at[t] + size[own]]).astype(np.int64)
-                for c, v in zip(columns, (None,) * 7 + (int(ids[t]), joined_spans(spans).tobytes()), strict=True):
+                for c, v in zip(columns, (int(ids[t]) % buckets, *[None] * 6, int(ids[t]), joined_spans(spans).tobytes()), strict=True):
                     c.append(v)
             kinds = [pa.int32(), *[pa.binary()] * 6, pa.int64(), pa.binary()]
             names = [c.split()[0] for c in CONTEXT_SCHEMA.split(", ")]
@@ -258,7 +251,7 @@ def _sorted_by(high: np.ndarray, text: np.ndarray, a: int, b: int) -> tuple[np.n
     low = np.zeros(len(text), _U)
     for c in range(a, b):
         low = (low << _U(8)) | text[:, c].astype(_U)
-    if len(text) <= BLOCK and b - a <= 6:
+    if len(text) <= 1 << 16 and b - a <= 6:
         key = (low << _U(16)) | high.astype(_U)
         order = np.argsort(key, kind="stable")
         key = key[order]
@@ -270,7 +263,7 @@ def _sorted_by(high: np.ndarray, text: np.ndarray, a: int, b: int) -> tuple[np.n
 
 
 def _ranks(order: np.ndarray, new: np.ndarray) -> np.ndarray:
-    out = np.empty(len(order), np.int64)
+    out = np.empty(len(order), np.int32)
     out[order] = np.cumsum(new) - 1
     return out
 
@@ -282,7 +275,7 @@ def repeats(text: np.ndarray, group: np.ndarray, first: np.ndarray, last: np.nda
     strings of a row start in the columns first to last.
     """
     covers = [c for c in range(WIDE + 1) if c % PERIOD in COVER and c >= 0]
-    rank = {WIDE: _ranks(*_sorted_by(group, text, WIDE, WIDE))}
+    rank = {WIDE: group.astype(np.int32)}
     ahead = WIDE
     for c in reversed([c for c in covers if c < WIDE]):
         rank[c] = _ranks(*_sorted_by(rank[ahead], text, c, ahead))
@@ -295,8 +288,10 @@ def repeats(text: np.ndarray, group: np.ndarray, first: np.ndarray, last: np.nda
         ahead = min(k for k in rank if k >= c)
         order, _ = _sorted_by(rank[ahead][rows], text[rows], c, ahead)
         own = rows[order]
-        cut = words[own, c : c + LENGTH]
-        same = (group[own][1:] == group[own][:-1]) & (cut[1:] == cut[:-1]).all(1)
+        same = group[own][1:] == group[own][:-1]
+        for i in range(0, len(same), ROWS):
+            cut = words[own[i : i + ROWS + 1], c : c + LENGTH]
+            same[i : i + ROWS] &= (cut[1:] == cut[:-1]).all(1)
         start = np.flatnonzero(np.concatenate([[True], ~same]))
         least = np.minimum.reduceat(doc[own], start)
         gone = doc[own] > np.repeat(least, np.diff(np.append(start, len(own))))
@@ -305,13 +300,20 @@ def repeats(text: np.ndarray, group: np.ndarray, first: np.ndarray, last: np.nda
 
 
 def removed(sent: DataFrame) -> DataFrame:
-    """(doc_id, gone): byte ranges that the sort of each bucket removes."""
+    """(doc_id, gone): byte ranges that the sort of each bucket removes, and those known before."""
 
     def sort(group: pa.Table) -> pa.Table:
+        known = group.filter(group.column("doc_id").is_valid()).select(["doc_id", "gone"])
+        group = group.filter(group.column("doc_id").is_null())
+        found = sort_contexts(group) if group.num_rows else known.slice(0, 0)
+        trim()
+        return pa.concat_tables([known.cast(found.schema), found])
+
+    def sort_contexts(group: pa.Table) -> pa.Table:
         parts: list[tuple] = []
         for h, d, lo, n, left, squeezed in zip(*(group.column(c).to_pylist() for c in ("hashes", "docs", "lows", "sizes", "lefts", "bytes")), strict=True):
             size = np.frombuffer(n, np.uint8).astype(np.int64)
-            parts.append((_unpacked(h), np.frombuffer(d, np.int64), np.frombuffer(lo, np.int64), size, np.frombuffer(left, np.uint8).astype(np.int64), np.frombuffer(zstandard.decompress(squeezed), np.uint8)))
+            parts.append((unpacked(h), np.frombuffer(d, np.int64), np.frombuffer(lo, np.int64), size, np.frombuffer(left, np.uint8).astype(np.int64), np.frombuffer(zstandard.decompress(squeezed), np.uint8)))
         x, doc, low, size, left, flat = (np.concatenate(c) for c in zip(*parts, strict=True))
         at = np.cumsum(size) - size
         order = np.argsort(x, kind="stable")
@@ -325,25 +327,31 @@ def removed(sent: DataFrame) -> DataFrame:
             first = SPAN - 1 - left[own]  # the anchor stands in column SPAN - 1
             text = np.zeros((len(own), WIDE), np.uint8)
             n = size[own]
-            row = np.repeat(np.arange(len(own)), n)
-            inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            text[row, first[row] + inner] = flat[at[own][row] + inner]
+            for i in range(0, len(own), ROWS):
+                some = slice(i, i + ROWS)
+                row = np.repeat(np.arange(len(n[some])), n[some])
+                inner = np.arange(len(row)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
+                text[some][row, first[some][row] + inner] = flat[at[own[some]][row] + inner]
             number = np.cumsum(new[edges[k] : edges[end]]) - 1
+            least, most = np.full(len(own), SPAN), np.full(len(own), -1)
             for c, rows in repeats(text, number, first, first + n - LENGTH, doc[own]):
-                start = low[own][rows] + c - first[rows]
-                docs.append(doc[own][rows])
-                spans.append(np.column_stack([start, start + LENGTH]))
+                least[rows] = np.minimum(least[rows], c)
+                most[rows] = c
+            rows = np.flatnonzero(most >= 0)  # a row's strings overlap one another, so what goes is one range
+            start = low[own][rows] - first[rows]
+            docs.append(doc[own][rows])
+            spans.append(np.column_stack([start + least[rows], start + most[rows] + LENGTH]))
             k = end
-        if not docs:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "gone": pa.array([], pa.binary())})
         ids, all_spans = np.concatenate(docs), np.concatenate(spans)
+        if not len(ids):
+            return pa.table({"doc_id": pa.array([], pa.int64()), "gone": pa.array([], pa.binary())})
         order = np.argsort(ids, kind="stable")
         ids, all_spans = ids[order], all_spans[order]
         start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         found = [joined_spans(s).astype(np.int64).tobytes() for s in np.split(all_spans, start[1:])]
         return pa.table({"doc_id": pa.array(ids[start]), "gone": pa.array(found, pa.binary())})
 
-    return sent.select("bucket", "hashes", "docs", "lows", "sizes", "lefts", "bytes").groupBy("bucket").applyInArrow(sort, "doc_id long, gone binary")
+    return sent.groupBy("bucket").applyInArrow(sort, "doc_id long, gone binary")
 
 
 KEPT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -352,13 +360,14 @@ KEPT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept bin
 def without_repeats(docs: DataFrame, keep: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes; their SHA-256 if ``keep`` is false) of every row."""
     spark = docs.sparkSession
-    buckets = 1 << max(4, (shuffle_width(spark) - 1).bit_length())
+    buckets = 2 << max(4, (shuffle_width(spark) - 1).bit_length())
     raws = _texts(docs)
     shared = materialize(shared_anchors(raws, buckets), "anchors")
+    release(spark)
     wanted = shared.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
-    sent = materialize(contexts(raws.join(wanted, "doc_id"), buckets), "contexts")
-    gone = sent.where("doc_id is not null").select("doc_id", "gone").union(removed(sent.where("bucket is not null")))
-    gone = materialize(gone, "gone").groupBy("doc_id").agg(F.collect_list("gone").alias("gone"))
+    gone = materialize(removed(contexts(raws.join(wanted, "doc_id"), buckets)), "gone")
+    release(spark)
+    gone = gone.groupBy("doc_id").agg(F.collect_list("gone").alias("gone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "raw"):
