@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark import components, materialize, release, shuffle_width
-from .words import distinct_sets, mix, packed, shingle_hashes, sliced, unpacked
+from .words import distinct_sets, mix, packed, shingle_hashes, sliced, trim, unpacked
 
 _U = np.uint64
 _BAND = _U(127)  # the bits of a tile that hold its band
@@ -230,7 +230,7 @@ def _shared_tiles(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
             return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
         tile, name = joined("tiles", "names")
-        order = np.argsort(tile, kind="stable")
+        order = np.argsort(tile)
         tile, name = tile[order], name[order]
         start = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])) if len(tile) else np.zeros(0, np.int64)
         several = np.zeros(len(start), bool)
@@ -239,7 +239,9 @@ def _shared_tiles(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
         keep = np.repeat(several, np.diff(np.append(start, len(tile))))
         near = joined("near_tiles", "near_names")
         tile, name = np.concatenate([tile[keep], near[0]]), np.concatenate([name[keep], near[1]])
-        return pa.table({"tile": pa.array(tile.view(np.int64)), "d1": pa.array(name)})
+        out = pa.table({"tile": pa.array(tile.view(np.int64)), "d1": pa.array(name)})
+        trim()
+        return out
 
     dealt = _texts(docs).mapInArrow(cut, "bucket int, tiles binary, names binary, near_tiles binary, near_names binary, classes binary")
     return dealt.groupBy("bucket").applyInArrow(meet, "tile long, d1 long").distinct()
@@ -269,7 +271,8 @@ def _tried(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 sets = [np.frombuffer(v.as_buffer(), _U) for v in (x, y)]
                 keep.append(bool(links_between(sets, [0, 1], 1, num, den)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(tried, "a long, b long").distinct()
 
@@ -340,6 +343,7 @@ def _within_small(members: DataFrame, arrays: DataFrame, sizes: DataFrame, num:
                 maps = folded([np.frombuffer(x, _U), np.frombuffer(y, _U)])
                 keep.append(len(hopeful(maps, np.array([m, n]), 0, np.array([1]), num, den)) > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     live = pairs.join(bits("b"), "b").join(bits("a"), "a").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(bound, "a long, b long")
     live = materialize(live.distinct(), "live-pairs")
