@@ -160,7 +160,7 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             hashes.append(unpacked(h))
             owners.append(np.frombuffer(i, np.int64)[np.frombuffer(t, np.uint16)])
         x, doc = np.concatenate(hashes), np.concatenate(owners)
-        order = np.argsort(x, kind="stable")
+        order = np.argsort(x)
         x, doc = x[order], doc[order]
         start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
         several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
@@ -253,7 +253,7 @@ def _sorted_by(high: np.ndarray, text: np.ndarray, a: int, b: int) -> tuple[np.n
         low = (low << _U(8)) | text[:, c].astype(_U)
     if len(text) <= 1 << 16 and b - a <= 6:
         key = (low << _U(16)) | high.astype(_U)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         new = key[1:] != key[:-1]
     else:
@@ -316,7 +316,7 @@ def removed(sent: DataFrame) -> DataFrame:
             parts.append((unpacked(h), np.frombuffer(d, np.int64), np.frombuffer(lo, np.int64), size, np.frombuffer(left, np.uint8).astype(np.int64), np.frombuffer(zstandard.decompress(squeezed), np.uint8)))
         x, doc, low, size, left, flat = (np.concatenate(c) for c in zip(*parts, strict=True))
         at = np.cumsum(size) - size
-        order = np.argsort(x, kind="stable")
+        order = np.argsort(x)
         new = np.concatenate([[True], x[order][1:] != x[order][:-1]])
         edges = np.append(np.flatnonzero(new), len(x))
         docs, spans = [], []
