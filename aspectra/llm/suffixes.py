@@ -251,7 +251,7 @@ def _sorted_by(high: np.ndarray, text: np.ndarray, a: int, b: int) -> tuple[np.n
     low = np.zeros(len(text), _U)
     for c in range(a, b):
         low = (low << _U(8)) | text[:, c].astype(_U)
-    if len(text) <= 1 << 16 and b - a <= 6:
+    if high.max(initial=0) < 1 << 16 and b - a <= 6:  # some rows of a block may bear ranks beyond their number
         key = (low << _U(16)) | high.astype(_U)
         order = np.argsort(key)
         key = key[order]

@@ -53,3 +53,26 @@ def test_odd(spark, monkeypatch):
     assert run(spark, rows, 1) == brute(rows)
     assert run(spark, rows, 5) == brute(rows)
     assert suffixes.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ranks_beyond_16_bits():
+    """One anchor with more than 65,536 contexts, and a column that few of them reach."""
+    rng = np.random.default_rng(8)
+    n, few = 140_000, np.arange(0, 140_000, 35)
+    text = np.full((n, suffixes.WIDE), ord("x"), np.uint8)
+    text[:, 52:] = rng.integers(97, 123, (n, suffixes.WIDE - 52))
+    text[:, 2] = rng.choice([ord("b"), ord("c")], n)
+    first = np.full(n, suffixes.SPAN - 1)
+    first[few] = 2
+    last = first.copy()
+    doc = rng.permutation(n)
+    got = {c: set(rows.tolist()) for c, rows in suffixes.repeats(text, np.zeros(n, np.int64), first, last, doc)}
+    for c in (2, suffixes.SPAN - 1):
+        rows = np.flatnonzero(first == c)
+        least = {}
+        for r in rows.tolist():
+            s = text[r, c : c + suffixes.LENGTH].tobytes()
+            least[s] = min(int(doc[r]), least.get(s, n))
+        want = {r for r in rows.tolist() if least[text[r, c : c + suffixes.LENGTH].tobytes()] < doc[r]}
+        assert got.get(c, set()) == want
+    assert len(got[2]) == len(few) - 2
