@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .spark import components, materialize, release, shuffle_width
@@ -390,11 +390,36 @@ def link_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
     return known.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """A long that rows share only where doc_id and text agree (a null text is empty).
+
+    The doc_id, where none is null and each has one text; else a hash of both
+    that a second look found without collisions.
+    """
+    own, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    mark = lambda seed: F.xxhash64(F.lit(seed), own, text)
+    for key in (own, *map(mark, range(9))):
+        seen = docs.select(key.alias("key"), mark(-1).alias("x"), mark(-2).alias("y"))
+        seen = seen.groupBy("key").agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))])
+        if seen.where("key is null or low_x <> high_x or low_y <> high_y").isEmpty():
+            return key
+    raise RuntimeError("no hash tells the rows apart")
+
+
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents with the smallest doc_id of their component; of rows with one doc_id one stays."""
-    found = materialize(link_components(docs, width, num, den), "near")
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") > F.col("component_id")).alias("later"))
-    gone = ids.where("later").select("doc_id")
+    """One row of each component: that with the smallest doc_id, null ids last.
+
+    Rows are told apart by doc_id and text together, so rows that share a doc_id,
+    or have none, are only dropped where their texts are equal or linked.
+    """
+    keyed = docs.withColumn("_row", _row_key(docs))
+    found = materialize(link_components(keyed.select(F.col("_row").alias("doc_id"), "text"), width, num, den), "near")
+    rows = found.groupBy(F.col("doc_id").alias("_row")).agg(F.count("*").alias("n"), F.first("component_id").alias("comp"))
+    named = keyed.select("_row", F.col("doc_id").cast("long").alias("id")).distinct()
+    placed = rows.join(named, "_row").select("_row", "comp", F.struct(F.col("id").isNull().alias("none"), "id", "_row").alias("place"))
+    first = placed.groupBy("comp").agg(F.min("place").alias("first"))
+    gone = materialize(placed.join(first, "comp").where(F.col("_row") != F.col("first._row")).select("_row"), "later")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return kept.dropDuplicates(["doc_id"]) if not ids.where("n > 1").isEmpty() else kept
+    kept = keyed.join(gone, "_row", "left_anti")
+    kept = kept if rows.where("n > 1").isEmpty() else kept.dropDuplicates(["_row"])
+    return kept.select(docs.columns)

@@ -75,6 +75,20 @@ def test_odd(spark):
     assert jaccard.link_components(one.limit(0)).count() == 0
 
 
+def test_one_of_each_by_row(spark):
+    """Rows without doc_id and rows that share one go only where their texts are equal or linked."""
+    words = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    a, b, c, d, e = map(words, "abcde")
+    rows = [(None, a), (None, a), (None, b), (7, c), (7, d), (7, d + " more"), (8, c + " more"), (9, e), (None, e + " more"), (None, None), (5, None), (5, ""), (6, d)]
+    df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, label string").repartition(3)
+    got = jaccard.one_of_each(df)
+    assert got.columns == df.columns
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in got.collect()))
+    assert got == sorted([(0, a), (0, b), (0, ""), (5, ""), (6, d), (7, c), (9, e)])
+    plain = spark.createDataFrame([(2, a), (1, b), (3, a + " more")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in jaccard.one_of_each(plain).collect()) == [1, 2]
+
+
 @pytest.mark.parametrize("large", [2, 12])
 def test_blocks(spark, monkeypatch, large):
     """Tiles that take several blocks give the same links."""
