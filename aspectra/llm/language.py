@@ -6,9 +6,10 @@ backpropagation through time.  A text is cut into windows of ``WINDOW`` bytes,
 each read from a zero state; every byte of every text is read.  A document's
 probability of a language is the mean over all its positions that hold letters.
 
-Training: at most ``SAMPLE`` documents (those with the smallest hashes) of the
-labelled ones, one window each from a place their hash chooses, with balanced
-weights for the languages; the bound, the seed and the steps are parameters.
+Training: about ``SAMPLE`` of the labelled texts, equal ones counted once, shared
+out over all their languages (of each those with the smallest hashes), one window
+each from a place their hash chooses, with balanced weights for the languages;
+the bound, the seed and the steps are parameters.
 Everything the network learns comes from text and the label column.
 
 Null text or text without a letter gives ``und`` with score 0; without labelled
@@ -25,11 +26,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spark import materialize
 from .words import sliced, utf8
 
 WINDOW = 64
 HIDDEN = 8
 SAMPLE = 3000
+LEAST = 50  # texts of a language that has so many, also beyond SAMPLE
 STEPS = 400
 RATE = 0.02
 BATCH = 256
@@ -151,12 +154,41 @@ def windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return cut.astype(np.int16), text
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 0) -> tuple[BiGru | None, list[str]]:
-    """A network from ``labelled(text, lang)``; at most ``sample`` rows reach the driver, a window each."""
+def share_out(counts: dict[str, int], sample: int) -> int:
+    """The most that any language may send so that all of them send ``sample`` at most, but :data:`LEAST` at least."""
+    left, most = sample, max(counts.values(), default=0)
+    for k, n in enumerate(sorted(counts.values())):
+        if n * (len(counts) - k) > left:
+            most = left // (len(counts) - k)
+            break
+        left -= n
+    return max(most, LEAST)
+
+
+def chosen(labelled: DataFrame, sample: int = SAMPLE, seed: int = 0) -> list:
+    """Rows (lang, key, cut): of every language the texts with the smallest hashes, equal texts once."""
     key = F.xxhash64("text", F.lit(seed))
     cut = labelled.where("lang is not null and length(text) > 0").select("lang", key.alias("key"), F.encode("text", "UTF-8").alias("raw"))
     cut = cut.select("lang", "key", F.expr(f"substring(raw, cast(pmod(key, greatest(length(raw) - {WINDOW}, 0) + 1) as int) + 1, {WINDOW})").alias("cut"))
-    rows = cut.orderBy("key", "lang").limit(sample).collect()
+    texts = materialize(cut.dropDuplicates(["lang", "key"]), "labelled")
+    counts = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}
+    if not counts:
+        return []
+    most = share_out(counts, sample)
+    # Hashes are even, so a bound on them leaves about as many as are wanted; half more and some are let through.
+    bounds = [(g, min((1 << 63) - 1, int((most * 1.5 + 50) / n * (1 << 64)) - (1 << 63))) for g, n in counts.items()]
+    bound = labelled.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    rows, sent = [], dict.fromkeys(counts, 0)
+    for r in sorted(texts.join(F.broadcast(bound), "lang").where("key <= bound").select("lang", "key", "cut").collect(), key=lambda r: (r["key"], r["lang"])):
+        sent[r["lang"]] += 1
+        if sent[r["lang"]] <= most:
+            rows.append(r)
+    return rows
+
+
+def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 0) -> tuple[BiGru | None, list[str]]:
+    """A network from ``labelled(text, lang)`` that knows every language there; a window each of the :func:`chosen` texts."""
+    rows = chosen(labelled, sample, seed)
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None, []

@@ -45,3 +45,20 @@ def test_odd(spark):
     none = language.predict(df, *language.train(df.selectExpr("text", "CAST(NULL AS string) AS lang"))).collect()
     assert {(r["lang_pred"], r["score"]) for r in none} == {("und", 0.0)}
     assert language.predict(df.limit(0), net, langs).count() == 0
+
+
+def test_every_language_is_drawn(spark, monkeypatch):
+    """A rare language, and copies that would fill the sample: each language has its share, equal texts count once."""
+    monkeypatch.setattr(language, "LEAST", 5)
+    rows = [(f"the dog number {i} sat", "en") for i in range(3000)] + [(f"hunden nummer {i} satt", "sv") for i in range(3)]
+    common = spark.createDataFrame(rows, "text string, lang string")
+    hashes = {r["text"]: r["h"] for r in common.selectExpr("text", "xxhash64(text, 0) AS h").collect()}
+    small = min((t for t, g in rows if g == "en"), key=hashes.get)
+    docs = common.union(spark.createDataFrame([(small, "en")] * 200, "text string, lang string"))
+    got = language.chosen(docs, sample=40)
+    assert len({(r["lang"], r["key"]) for r in got}) == len(got)
+    want = sorted(hashes[t] for t, g in rows if g == "en")[:37]
+    assert sorted(r["key"] for r in got if r["lang"] == "en") == want
+    assert sum(r["lang"] == "sv" for r in got) == 3
+    assert language.train(docs, sample=40)[1] == ["en", "sv"]
+    assert language.share_out({"a": 10, "b": 100, "c": 100}, 70) == 30 and language.share_out({"a": 2}, 70) == 5
