@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spark import components, materialize, release, shuffle_width
+from .spark import broadcast_if_small, components, materialize, release, row_key, shuffle_width, unused
 from .words import distinct_sets, mix, packed, shingle_hashes, sliced, trim, unpacked
 
 _U = np.uint64
@@ -47,7 +47,6 @@ BATCH = 1000
 LARGE_TILE = 12
 BLOCK_MEMBERS = 1024
 BLOCK_SHINGLES = 4_000_000
-BROADCAST_IDS = 500_000
 
 
 class Bands:
@@ -176,6 +175,19 @@ def _named_sets(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
     return _texts(docs).mapInArrow(named, "doc_id long, n_shingles long, d1 long, d2 long, slack array<struct<band:long,slack:long>>")
 
 
+def _members(member: str) -> list[Column]:
+    """Aggregates that name a set of distinct ids: their number, the least and 128 bits of exclusive-ored hashes."""
+    mixed = [F.bit_xor(F.xxhash64(F.lit(seed), F.col(member))).alias(name) for seed, name in ((11, "check1"), (23, "check2"))]
+    return [F.count("*").alias("m"), F.min(member).alias("least"), *mixed]
+
+
+MEMBERS = ("m", "least", "check1", "check2")
+
+
+def _large(tiles: DataFrame) -> DataFrame:
+    return tiles.groupBy("tile").agg(F.count("*").alias("m")).where(F.col("m") > LARGE_TILE).select("tile")
+
+
 def _needed(tiles: DataFrame, classes: DataFrame) -> DataFrame:
     """The members of ``tiles(tile, id)`` that must be compared there.
 
@@ -184,7 +196,7 @@ def _needed(tiles: DataFrame, classes: DataFrame) -> DataFrame:
     meet each of its partners in a small tile, and leaves the large ones.  So
     tiles that a common passage makes empty themselves, and no link is lost.
     """
-    large = tiles.groupBy("tile").agg(F.count("*").alias("m")).where(F.col("m") > LARGE_TILE).select("tile")
+    large = broadcast_if_small(materialize(_large(tiles), "large"))
     inside = materialize(tiles.join(large, "tile").withColumn("band", F.col("tile").bitwiseAND(F.lit(127))), "large-tiles")
     slack = classes.select("id", F.explode("slack").alias("s")).select("id", "s.band", "s.slack")
     unsure = inside.groupBy("id", "band").agg(F.count("*").alias("n")).join(slack, ["id", "band"]).where("n > slack").select("id", "band")
@@ -250,7 +262,7 @@ def _shared_tiles(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
 def _arrays(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, shingles, bits): sorted sets and bitmaps of the documents named in ``ids(id)``; a doc_id that repeats gives each of its rows."""
     named = ids.withColumnRenamed("id", "doc_id")
-    chosen = _texts(docs).join(F.broadcast(named) if named.count() <= BROADCAST_IDS else named, "doc_id", "left_semi")
+    chosen = _texts(docs).join(broadcast_if_small(named), "doc_id", "left_semi")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, sets in _slices(batches, width, 200):
@@ -305,8 +317,8 @@ def _within_large(members: DataFrame, arrays: DataFrame, sizes: DataFrame, num:
     live = dealt.groupBy("tile", "i", "j").applyInPandas(bound, "tile long, i int, j int, id long, comp long")
     release(members.sparkSession)
     live = materialize(live.select(F.xxhash64("tile", "i", "j").alias("unit"), "id", "comp"), "live")
-    summed = live.groupBy("unit").agg(F.count("*").alias("m"), F.sum(F.hash("id").cast("long")).alias("check"), F.min("id").alias("least"))
-    unlike = summed.groupBy("m", "check", "least").agg(F.min("unit").alias("unit")).select("unit")
+    summed = materialize(live.groupBy("unit").agg(*_members("id")), "live-units")
+    unlike = broadcast_if_small(materialize(summed.groupBy(*MEMBERS).agg(F.min("unit").alias("unit")).select("unit"), "unlike-units"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sets, ids = [np.frombuffer(x, _U) for x in pdf["shingles"]], pdf["id"].tolist()
@@ -353,7 +365,7 @@ def _within_small(members: DataFrame, arrays: DataFrame, sizes: DataFrame, num:
 
 def _within_tiles(members: DataFrame, arrays: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
     """Links between components in tiles that span several."""
-    large = members.groupBy("tile").agg(F.count("*").alias("m")).where(F.col("m") > LARGE_TILE).select("tile")
+    large = broadcast_if_small(materialize(_large(members), "large"))
     few = _within_small(members.join(large, "tile", "left_anti"), arrays, sizes, num, den)
     many = members.join(large, "tile", "left_semi")
     return few if many.isEmpty() else few.union(_within_large(many, arrays, sizes, num, den)).distinct()
@@ -370,17 +382,17 @@ def link_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
     tiles = materialize(tiles, "tiles")
     release(docs.sparkSession)
     tiles = materialize(_needed(tiles, classes), "needed-tiles")
-    summed = tiles.groupBy("tile").agg(F.count("*").alias("m"), F.sum(F.hash("id").cast("long")).alias("check"), F.min("id").alias("least")).where("m > 1")
-    unlike = summed.groupBy("m", "check", "least").agg(F.min("tile").alias("tile"))  # of tiles with the same members one
-    tiles = materialize(tiles.join(unlike.select("tile", "least"), "tile"), "unlike-tiles")
+    summed = tiles.groupBy("tile").agg(*_members("id")).where("m > 1")
+    unlike = summed.groupBy(*MEMBERS).agg(F.min("tile").alias("tile")).select("tile", "least")  # of tiles with the same members one
+    tiles = materialize(tiles.join(broadcast_if_small(materialize(unlike, "unlike")), "tile"), "unlike-tiles")
     pairs = tiles.groupBy("id").agg(F.min("least").alias("b")).where("id <> b").select(F.col("id").alias("a"), "b")
     arrays = materialize(_arrays(docs, tiles.select("id").distinct(), width), "arrays")
     links = materialize(_tried(pairs, arrays, num, den), "links")
     release(docs.sparkSession)
     label = components(links)
-    placed = tiles.join(label, "id", "left").select("tile", "id", F.coalesce("label", "id").alias("comp"))
+    placed = materialize(tiles.join(label, "id", "left").select("tile", "id", F.coalesce("label", "id").alias("comp")), "placed")
     open_tiles = placed.groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("tile")
-    members = materialize(placed.join(open_tiles, "tile"), "open-tiles")
+    members = materialize(placed.join(broadcast_if_small(materialize(open_tiles, "open")), "tile"), "open-tiles")
     if not members.isEmpty():
         more = materialize(_within_tiles(members, arrays, classes.select("id", "n_shingles"), num, den), "more-links")
         if not more.isEmpty():
@@ -390,36 +402,20 @@ def link_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
     return known.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def _row_key(docs: DataFrame) -> Column:
-    """A long that rows share only where doc_id and text agree (a null text is empty).
-
-    The doc_id, where none is null and each has one text; else a hash of both
-    that a second look found without collisions.
-    """
-    own, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
-    mark = lambda seed: F.xxhash64(F.lit(seed), own, text)
-    for key in (own, *map(mark, range(9))):
-        seen = docs.select(key.alias("key"), mark(-1).alias("x"), mark(-2).alias("y"))
-        seen = seen.groupBy("key").agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))])
-        if seen.where("key is null or low_x <> high_x or low_y <> high_y").isEmpty():
-            return key
-    raise RuntimeError("no hash tells the rows apart")
-
-
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row of each component: that with the smallest doc_id, null ids last.
 
     Rows are told apart by doc_id and text together, so rows that share a doc_id,
     or have none, are only dropped where their texts are equal or linked.
     """
-    keyed = docs.withColumn("_row", _row_key(docs))
-    found = materialize(link_components(keyed.select(F.col("_row").alias("doc_id"), "text"), width, num, den), "near")
-    rows = found.groupBy(F.col("doc_id").alias("_row")).agg(F.count("*").alias("n"), F.first("component_id").alias("comp"))
-    named = keyed.select("_row", F.col("doc_id").cast("long").alias("id")).distinct()
-    placed = rows.join(named, "_row").select("_row", "comp", F.struct(F.col("id").isNull().alias("none"), "id", "_row").alias("place"))
-    first = placed.groupBy("comp").agg(F.min("place").alias("first"))
-    gone = materialize(placed.join(first, "comp").where(F.col("_row") != F.col("first._row")).select("_row"), "later")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = keyed.join(gone, "_row", "left_anti")
-    kept = kept if rows.where("n > 1").isEmpty() else kept.dropDuplicates(["_row"])
+    row, number, comp, place, first = unused(docs, "row", "n", "comp", "place", "first")
+    keyed = docs.withColumn(row, row_key(docs))
+    found = materialize(link_components(keyed.select(F.col(row).alias("doc_id"), "text"), width, num, den), "near")
+    rows = found.groupBy(F.col("doc_id").alias(row)).agg(F.count("*").alias(number), F.first("component_id").alias(comp))
+    named = keyed.select(row, F.col("doc_id").cast("long").alias(place)).distinct()
+    rows = materialize(rows.join(named, row).select(row, number, comp, F.struct(F.col(place).isNull().alias("none"), F.col(place).alias("id"), F.col(row).alias("row")).alias(place)), "rows")
+    least = rows.groupBy(comp).agg(F.min(place).alias(first))
+    gone = materialize(rows.join(least, comp).where(F.col(row) != F.col(first)["row"]).select(row), "later")
+    kept = keyed.join(broadcast_if_small(gone), row, "left_anti")
+    kept = kept if rows.where(F.col(number) > 1).isEmpty() else kept.dropDuplicates([row])
     return kept.select(docs.columns)
