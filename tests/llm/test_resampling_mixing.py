@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from aspectra.llm import mixing, q_resampling, resampling
 
@@ -47,22 +48,55 @@ def test_resample_odd(spark):
     assert resampling.resample(df.limit(0), none).count() == 0
 
 
-def test_mix_odd(spark):
-    df = spark.createDataFrame(ROWS, ODD)
-    got = mixing.mix(df).collect()
-    assert len(got) == 5 and all(0 <= r["rate"] <= 1 for r in got)
-    assert mixing.sample(df).columns == df.columns
+def test_mix_odd(spark, monkeypatch):
+    df = spark.createDataFrame([(*r, 7.5, "mine") for r in ROWS], ODD + ", drawn double, _tokens string")
+    for cells in (mixing.BROADCAST_CELLS, 0):  # rates by broadcast, then by salted cells
+        monkeypatch.setattr(mixing, "BROADCAST_CELLS", cells)
+        mixed, rate, drawn = mixing.mix_described(*mixing.described(df))
+        got = mixed.collect()
+        assert len(got) == 5 and all(0 <= r[rate] <= 1 and r["drawn"] == 7.5 and r["_tokens"] == "mine" for r in got)
+        assert sorted(str(r["rate"]) for r in got) == sorted(str(r[4]) for r in ROWS)
+        assert mixing.sample(df, 1.0).columns == df.columns
+        assert sorted(map(str, mixing.sample(df, 1.0).collect())) == sorted(map(str, df.collect()))
     assert mixing.sample(df.limit(0)).count() == 0
 
 
-def test_margins(spark, sf):
+def cells_of(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    cells = mixing.described(docs).groupBy(*[f"_{m}" for m in mixing.MARGINS]).sum("_tokens").toDF(*mixing.MARGINS, "n")
-    fitted = mixing.rake(cells, rounds=12).toPandas()
-    total = fitted.n.sum()
-    raised = fitted.groupby("source").n.sum() ** mixing.POWER
-    assert np.allclose(fitted.groupby("source").w.sum(), raised / raised.sum() * total, rtol=2e-3)
-    by_lang = fitted.groupby("lang").w.sum() / total
-    assert all(abs(by_lang[k] - v / sum(mixing.LANG_SHARES.values())) < 0.02 for k, v in mixing.LANG_SHARES.items())
-    share = mixing.rates(mixing.rake(cells)).selectExpr("sum(rate * n) / sum(n) AS s").first()["s"]
-    assert abs(share - mixing.BUDGET) < 0.02
+    own, names = mixing.described(docs)
+    return own.groupBy(*[F.col(c).alias(m) for c, m in zip(names, mixing.MARGINS)]).agg(F.sum(names[3]).alias("n"))
+
+
+def test_margins(spark):
+    """At the settings of the query the expected tokens have the target margins."""
+    fitted = mixing.rates(cells_of(spark))
+    pdf, report = fitted.toPandas(), mixing.residual(fitted)
+    assert pdf.rate.between(0, 1).all() and (pdf.rate == 1).any()
+    assert np.abs(report.target - report.reached).max() < 1e-6, report
+    assert abs((pdf.rate * pdf.n).sum() / pdf.n.sum() - mixing.BUDGET) < 1e-6
+    by_lang = report[report.margin == "lang"].set_index("value")
+    room = pdf.groupby("lang").n.sum() / pdf.n.sum() / mixing.BUDGET
+    for k, v in mixing.LANG_SHARES.items():
+        assert by_lang.reached[k] > v - 1e-6 or abs(by_lang.reached[k] - room[k]) < 1e-6
+
+
+def test_fit_of_many_cells(spark, monkeypatch):
+    """The DataFrame fit takes the same steps as the numpy fit."""
+    cells = cells_of(spark)
+    monkeypatch.setattr(mixing, "ROUNDS", 2)
+    want = mixing.rates(cells).toPandas()
+    monkeypatch.setattr(mixing, "MOST_CELLS", 0)
+    got = mixing.rates(cells).toPandas()
+    both = want.merge(got, on=[*mixing.MARGINS, "n"])
+    assert len(both) == len(want) == len(got) and np.abs(both.rate_x - both.rate_y).max() <= 2e-7
+
+
+def test_targets_beyond_reach():
+    """A value keeps what it has and the others share the rest; margins that cannot be met together end at the bound."""
+    n = np.array([10.0, 100, 1000])
+    assert np.allclose(mixing.reachable(n, np.array([0.5, 0.25, 0.25]), 555), [10, 100, 445])
+    u, missed = mixing.raked(np.array([10.0, 90, 90, 10]), [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])], [np.array([30.0, 70]), np.array([75.0, 25])], 0.5)
+    w = np.minimum(1, u) * [10, 90, 90, 10]
+    assert missed < 1e-12 and np.allclose([w[0] + w[2], w[0] + w[1]], [75, 30])
+    u, missed = mixing.raked(np.array([100.0, 100]), [np.array([0, 1]), np.array([0, 1])], [np.array([90.0, 10]), np.array([10.0, 90])], 0.5)
+    assert missed > 0.1 and np.isfinite(u).all()
