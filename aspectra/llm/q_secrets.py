@@ -36,7 +36,7 @@ def _sql() -> str:
 
     table_ = "[" + ", ".join(str(S.clog(c)) for c in range(22)) + "]"
     hexes, rest = S.CLASSES["entropy_hex"], S.CLASSES["entropy_base64"]
-    allowed = " OR ".join(f"regexp_matches(match, {quoted(p)})" for p in S.ALLOWED)
+    allowed = " OR ".join(f"regexp_matches(match, {quoted(p.replace('*+[', '*['))})" for p in S.ALLOWED)  # RE2 has no possessive repetition and needs none
     windows = f"""windows AS (
   SELECT r, s, match, k, list_filter(range(0, length(match) - 19), lambda i:
     list_sum(list_transform(list_distinct(string_split(substr(match, i + 1, 20), '')), lambda c:

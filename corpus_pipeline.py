@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from aspectra import ship
 from aspectra.llm import jaccard, mixing, packing, resampling, secrets
 from aspectra.llm.q_packing import tokenizer_path
-from aspectra.llm.spark import materialize, table
+from aspectra.llm.spark import materialize, table, unused
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +31,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is masked; texts without one stay as they are."""
-    found = secrets.scan_secrets(docs, into="_secrets")
-    spans = F.array_sort(F.concat("_secrets.base", "_secrets.added"))
-    masked = found.withColumn("_masked", secrets.redact(F.col("text"), spans))
-    changes = {"text": F.when(F.size(spans) > 0, F.col("_masked")).otherwise(F.col("text"))}
+    found, spans, masked = unused(docs, "secrets", "spans", "masked")
+    scanned = secrets.scan_secrets(docs, into=found)
+    scanned = scanned.withColumn(spans, F.array_sort(F.concat(F.col(found)["base"], F.col(found)["added"])))
+    hit = F.size(spans) > 0
+    scanned = scanned.withColumn(masked, F.when(hit, secrets.redact(F.col("text"), F.col(spans))))
+    changes = {"text": F.when(hit, F.col(masked)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        changes["n_chars"] = F.when(F.size(spans) > 0, F.length("_masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return masked.withColumns(changes).select(docs.columns)
+        changes["n_chars"] = F.when(hit, F.length(masked).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return scanned.withColumns(changes).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

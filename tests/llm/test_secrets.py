@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -48,6 +49,41 @@ def test_cases(spark):
         texts.append(rng.choice([" ", "\n", "."]).join(parts))
     assert scan(spark, texts) == [brute(t) for t in texts]
     assert any(len(b) > len(a) for a, b in map(brute, texts))
+    texts = [t or "" for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    spans = F.array_sort(F.concat("secrets.base", "secrets.added"))
+    got = S.scan_secrets(df).select("i", S.redact(F.col("text"), spans).alias("out")).orderBy("i").collect()
+    assert [r["out"] for r in got] == [masked(t) for t in texts]
+
+
+def masked(text):
+    """The text with its spans, joined where they touch, replaced one after the other."""
+    at, out = 0, []
+    for a, _, b in brute(text)[1]:
+        if a > at or at == 0:
+            out.append(text[at:a] + "[SECRET]")
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def test_long(spark):
+    """Very long candidates and very many matches end soon and give the same spans."""
+    rng = random.Random(1)
+    base64 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    texts = [
+        "a-" * 200_000,
+        "".join(rng.choice(base64) for _ in range(1_000_000)),
+        " é ".join(f"token=abcdefgh{i}" for i in range(100_000)),
+        " ".join("".join(rng.choice(base64) for _ in range(30)) + f" secret=x{i:08d}" for i in range(10_000)),
+        "ab" * 3 + "Ab-12345-" * 50_000 + "!",
+    ]
+    began = time.monotonic()
+    assert scan(spark, texts) == [brute(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    spans = F.array_sort(F.concat("secrets.base", "secrets.added"))
+    got = S.scan_secrets(df).select("i", S.redact(F.col("text"), spans).alias("out")).orderBy("i").collect()
+    assert [r["out"] for r in got] == [masked(t) for t in texts]
+    assert time.monotonic() - began < 150
 
 
 def test_empty_table_and_copies(spark):
