@@ -7,9 +7,9 @@ each read from a zero state; every byte of every text is read.  A document's
 probability of a language is the mean over all its positions that hold letters.
 
 Training: about ``SAMPLE`` of the labelled texts, equal ones counted once, shared
-out over all their languages (of each those with the smallest hashes), one window
-each from a place their hash chooses, with balanced weights for the languages;
-the bound, the seed and the steps are parameters.
+out over all their languages (of each those with the smallest hashes), with all
+their windows; every batch draws its languages evenly and then their windows.
+The bound, the seed and the steps are parameters.
 Everything the network learns comes from text and the label column.
 
 Null text or text without a letter gives ``und`` with score 0; without labelled
@@ -120,12 +120,15 @@ class BiGru:
         return loss, out
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = STEPS, seed: int = 0) -> None:
-        """Adam over random batches of windows; x (windows, steps)."""
+        """Adam over random batches of windows; x (windows, steps). A batch draws labels evenly, then windows of them."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
+        order = np.argsort(y, kind="stable")
+        labels, first, many = np.unique(y[order], return_index=True, return_counts=True)
         for k in range(1, steps + 1):
-            rows = rng.integers(0, len(x), min(BATCH, len(x)))
+            drawn = rng.integers(0, len(labels), BATCH)
+            rows = order[first[drawn] + (rng.random(BATCH) * many[drawn]).astype(np.int64)]
             _, g = self.gradients(np.ascontiguousarray(x[rows].T), y[rows], np.ascontiguousarray(weight[rows].T))
             rate = RATE * (1 - (k - 1) / steps) + 1e-4
             for name, grad in g.items():
@@ -150,7 +153,8 @@ def windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     start = at[text] + (np.arange(len(text)) - first[text]) * WINDOW
     place = start[:, None] + np.arange(WINDOW)
     inside = place < at[text + 1][:, None]
-    cut = np.where(inside, raw[np.minimum(place, max(len(raw) - 1, 0))] if len(raw) else 0, 256)
+    own = raw[np.minimum(place, max(len(raw) - 1, 0))].astype(np.int16) if len(raw) else np.int16(0)
+    cut = np.where(inside, own, np.int16(256))
     return cut.astype(np.int16), text
 
 
@@ -166,38 +170,35 @@ def share_out(counts: dict[str, int], sample: int) -> int:
 
 
 def chosen(labelled: DataFrame, sample: int = SAMPLE, seed: int = 0) -> list:
-    """Rows (lang, key, cut): of every language the texts with the smallest hashes, equal texts once."""
-    key = F.xxhash64("text", F.lit(seed))
-    cut = labelled.where("lang is not null and length(text) > 0").select("lang", key.alias("key"), F.encode("text", "UTF-8").alias("raw"))
-    cut = cut.select("lang", "key", F.expr(f"substring(raw, cast(pmod(key, greatest(length(raw) - {WINDOW}, 0) + 1) as int) + 1, {WINDOW})").alias("cut"))
-    texts = materialize(cut.dropDuplicates(["lang", "key"]), "labelled")
-    counts = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}
+    """Rows (lang, key, text): of every language the whole texts with the smallest hashes, equal texts once."""
+    keyed = labelled.where("lang is not null and length(text) > 0").select("lang", F.xxhash64("text", F.lit(seed)).alias("key"), "text")
+    keys = materialize(keyed.select("lang", "key").distinct(), "labelled")
+    counts = {r["lang"]: r["count"] for r in keys.groupBy("lang").count().collect()}
     if not counts:
         return []
     most = share_out(counts, sample)
     # Hashes are even, so a bound on them leaves about as many as are wanted; half more and some are let through.
     bounds = [(g, min((1 << 63) - 1, int((most * 1.5 + 50) / n * (1 << 64)) - (1 << 63))) for g, n in counts.items()]
-    bound = labelled.sparkSession.createDataFrame(bounds, "lang string, bound long")
-    rows, sent = [], dict.fromkeys(counts, 0)
-    for r in sorted(texts.join(F.broadcast(bound), "lang").where("key <= bound").select("lang", "key", "cut").collect(), key=lambda r: (r["key"], r["lang"])):
+    bound = F.broadcast(labelled.sparkSession.createDataFrame(bounds, "lang string, bound long"))
+    sent, pairs = dict.fromkeys(counts, 0), []
+    for r in sorted(keys.join(bound, "lang").where("key <= bound").select("lang", "key").collect(), key=lambda r: (r["key"], r["lang"])):
         sent[r["lang"]] += 1
         if sent[r["lang"]] <= most:
-            rows.append(r)
-    return rows
+            pairs.append((r["lang"], r["key"]))
+    wanted = F.broadcast(labelled.sparkSession.createDataFrame(pairs, "lang string, key long"))  # about ``sample`` rows
+    own = keyed.join(wanted, ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
+    return sorted(own.collect(), key=lambda r: (r["key"], r["lang"]))
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, seed: int = 0) -> tuple[BiGru | None, list[str]]:
-    """A network from ``labelled(text, lang)`` that knows every language there; a window each of the :func:`chosen` texts."""
+    """A network from ``labelled(text, lang)`` that knows every language there, from all windows of the :func:`chosen` texts."""
     rows = chosen(labelled, sample, seed)
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None, []
-    x = np.full((len(rows), WINDOW), 256, np.int16)
-    for row, r in zip(x, rows, strict=True):
-        row[: len(r["cut"])] = np.frombuffer(bytes(r["cut"]), np.uint8)
-    y = np.array([langs.index(r["lang"]) for r in rows])
-    share = np.bincount(y, minlength=len(langs)) / len(y)
-    weight = (_letters(np.minimum(x, 255).astype(np.uint8)) & (x < 256)) / share[y][:, None] ** 0.5
+    x, text = windows(pa.array([r["text"] for r in rows], pa.large_string()))
+    y = np.array([langs.index(r["lang"]) for r in rows])[text]
+    weight = _letters(np.minimum(x, 255).astype(np.uint8)) & (x < 256)
     net = BiGru(len(langs), seed=seed)
     net.fit(x, y, weight.astype(np.float32), seed=seed)
     return net, langs

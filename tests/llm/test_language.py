@@ -1,6 +1,8 @@
+import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from aspectra.llm import language, q_language
 
@@ -24,6 +26,48 @@ def test_gradients():
             assert abs((losses[0] - losses[1]) / 2e-3 - grad[at]) < 2e-3, name
 
 
+def by_hand(net, text):
+    """Mean probabilities over letter positions: one byte after the other, in plain Python, each window from zero states."""
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    n, raw, sums, count = net.hidden, text.encode(), None, 0
+    for low in range(0, len(raw), language.WINDOW):
+        part = list(raw[low : low + language.WINDOW])
+        part += [256] * (language.WINDOW - len(part))
+        states = {}
+        for d, order in (("f", range(len(part))), ("b", range(len(part) - 1, -1, -1))):
+            e, u, h = net.p[f"E{d}"].tolist(), net.p[f"U{d}"].tolist(), [0.0] * n
+            for t in order:
+                g = e[part[t]]
+                z = [sig(g[i] + sum(h[j] * u[j][i] for j in range(n))) for i in range(n)]
+                r = [sig(g[n + i] + sum(h[j] * u[j][n + i] for j in range(n))) for i in range(n)]
+                c = [math.tanh(g[2 * n + i] + sum(r[j] * h[j] * u[j][2 * n + i] for j in range(n))) for i in range(n)]
+                h = [h[i] + z[i] * (c[i] - h[i]) for i in range(n)]
+                states[d, t] = h
+        for t, sign in enumerate(part):
+            if sign < 256 and (sign >= 128 or chr(sign).isalpha()):
+                both = states["f", t] + states["b", t]
+                s = [sum(both[i] * float(net.p["W"][i, k]) for i in range(2 * n)) + float(net.p["c"][k]) for k in range(len(net.p["c"]))]
+                e = [math.exp(v - max(s)) for v in s]
+                sums = [a + b / sum(e) for a, b in zip(sums or [0.0] * len(e), e)]
+                count += 1
+    return [v / count for v in sums] if count else [0.0] * len(net.p["c"])
+
+
+def test_forward_against_plain_python():
+    net = language.BiGru(3, seed=4)
+    texts = ["the cat", "é", "", "12 ?", "Ein sehr langer Satz, der über mehr als ein Fenster reicht: " * 3, "a"]
+    got = language.pooled(net, pa.array(texts), 3)
+    assert np.allclose(got, [by_hand(net, t) for t in texts], atol=1e-5)
+
+
+def test_training_reads_whole_texts(spark):
+    """What tells two languages apart stands beyond the first windows only."""
+    rows = [("1234 " * 200 + f"alpha beta gamma {i} " * 20, "aa") for i in range(60)] + [("1234 " * 200 + f"zulu yankee xray {i} " * 20, "zz") for i in range(60)]
+    net, langs = language.train(spark.createDataFrame(rows, "text string, lang string"))
+    docs = spark.createDataFrame([(1, "alpha gamma beta", "kept"), (2, "xray zulu", "kept")], "doc_id long, text string, score string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, net, langs).collect()} == {1: "aa", 2: "zz"}
+
+
 def test_op7(spark):
     sf = "/root/testdata/sf0.01"
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
