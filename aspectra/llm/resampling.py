@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spark import materialize
+from .spark import about, broadcast_if_small, materialize, unused
 from .words import mix, sliced, text_words
 
 BUCKETS = 1 << 16
@@ -35,7 +36,6 @@ SHARPNESS = 200.0
 LEAST = -0.25
 PRIOR = 16  # features without evidence that each text is credited with
 SCALE = 1_000_000
-BROADCAST_IDS = 500_000
 _U = np.uint64
 
 
@@ -64,7 +64,8 @@ def _named(df: DataFrame) -> DataFrame:
 def good_ids(labels: DataFrame, most: int = SAMPLE) -> np.ndarray:
     """At most ``most`` ids of good, not toxic documents: those with the smallest hashes."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    return np.sort(np.array([r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()], np.int64))
+    key = F.xxhash64("doc_id")
+    return np.sort(np.array([r[0] for r in about(good, key, most).orderBy(key, "doc_id").limit(most).collect()], np.int64))
 
 
 def log_ratios(docs: DataFrame, good: np.ndarray) -> np.ndarray:
@@ -75,7 +76,7 @@ def log_ratios(docs: DataFrame, good: np.ndarray) -> np.ndarray:
         for batch in sliced(batches, most=1 << 20):
             own, text = features(batch.column("text"))
             raw += np.bincount(own, minlength=BUCKETS)
-            chosen = np.isin(batch.column("doc_id").to_numpy(zero_copy_only=False), good)
+            chosen = pc.is_in(batch.column("doc_id"), value_set=pa.array(good, pa.int64())).to_numpy(zero_copy_only=False)  # never a null id
             target += np.bincount(own[chosen[text]], minlength=BUCKETS)
         k = np.flatnonzero(raw)
         if len(k):
@@ -156,14 +157,15 @@ def filter_documents(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataF
     """The rows of ``docs`` that are drawn, with their columns; all rows whose key equals the k-th stay.
 
     Only keys of rejected rows meet the documents, broadcast where their number is
-    within ``BROADCAST_IDS`` and joined by key otherwise.
+    checked and joined by key otherwise; a null id equals only a null id.
     """
     small = materialize(score(docs, log_ratios(docs, good_ids(labels)), seed), "scored")
     k = small.where(F.col("log_ratio") >= LEAST).count()
     if k == 0:
         return docs.where("false")
     value, _ = kth_largest(small, "draw", k)
-    gone = small.where(F.col("draw") < value).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(gone, ["_id", "_hash"], "left_anti").select(docs.columns)
+    own, none, mark = unused(docs, "id", "none", "hash")
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias(own), F.col("doc_id").isNull().alias(none)]
+    gone = materialize(small.where(F.col("draw") < value).select(*key, F.col("text_hash").alias(mark)).distinct(), "rejected")
+    keyed = docs.select("*", *key, F.xxhash64(F.coalesce("text", F.lit(""))).alias(mark))
+    return keyed.join(broadcast_if_small(gone), [own, none, mark], "left_anti").select(docs.columns)

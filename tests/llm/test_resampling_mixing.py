@@ -38,13 +38,22 @@ def test_kth(spark):
         assert value == order[k - 1] and ties == k - sum(v > value for v in values)
 
 
-def test_resample_odd(spark):
+def test_resample_odd(spark, monkeypatch):
     df = spark.createDataFrame(ROWS, ODD)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert resampling.resample(df, none).count() == 5
     assert resampling.resample(df, none, k=2).count() == 2
     assert resampling.filter_documents(df, none).columns == df.columns and resampling.filter_documents(df, none).count() == 5
     assert resampling.filter_documents(df.limit(0), none).count() == 0
+    rows = [(1 << 60, "good words here " * 9, "x", 1), ((1 << 60) + 1, "@@ ## $$ " * 9, "y", 2), (None, "@@ ## $$ " * 9, "z", 3), (-1, "good words here " * 9, "w", 4)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, _id string, _hash long")
+    some = spark.createDataFrame([(1 << 60, 1, 0)], "doc_id long, quality int, toxic int")
+    scored = resampling.score(odd, resampling.log_ratios(odd, resampling.good_ids(some))).collect()
+    mean = {r["doc_id"]: r["log_ratio"] for r in scored}
+    assert min(mean[1 << 60], mean[-1]) > max(mean[None], mean[(1 << 60) + 1])
+    monkeypatch.setattr(resampling, "LEAST", mean[-1])
+    got = sorted(((r["doc_id"] or 0, r["_id"], r["_hash"]) for r in resampling.filter_documents(odd, some).collect()))
+    assert got == [(-1, "w", 4), (1 << 60, "x", 1)]
     assert resampling.resample(df.limit(0), none).count() == 0
 
 
