@@ -11,6 +11,8 @@
    ranks in a range go to consecutive sequences at one offset.
 3. A piece's rank among its length is its partition's start plus its place
    there, so a length that a third of all pieces share is not sorted anywhere.
+   Pieces meet those starts by (partition, length), never by a broadcast, for
+   the starts grow with the number of partitions.
 
 A null or empty text is the one id 1; repeated rows are packed as often as
 they occur.
@@ -278,7 +280,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     runs.sort()
     length, rank, count, first, offset = (np.array(c, np.int64) for c in (zip(*runs, strict=True) if runs else [[]] * 5))
     key = (length << 44) + rank
-    ranked = cut.join(starts.drop("n"), ["part", "length"])
+    ranked = cut.join(starts.drop("n").hint("merge"), ["part", "length"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place")).alias("rank"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
