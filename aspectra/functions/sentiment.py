@@ -6,7 +6,9 @@ with null sentiments for what is not mentioned.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The aspects that reviews are scored on, in order.
@@ -33,18 +35,30 @@ def _labels(*chosen: Column) -> Column:
     return F.when(F.size(found) == 0, F.array(F.lit("NEU"))).otherwise(found)
 
 
-def keyword_scores(text: Column, lexicon: Lexicon, aspects: tuple[str, ...] = ASPECTS) -> Column:
-    """The typed map of a text: an aspect is mentioned if one of its keywords is there; a bare mention is neutral."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+def _cells(has: Callable[[str], Column], lexicon: Lexicon, aspects: tuple[str, ...]) -> Column:
     cells = []
     for a in aspects:
-        has = {p: F.lit(False) for p in ("", *POLARITIES)}
+        found = {p: F.lit(False) for p in ("", *POLARITIES)}
         for _, p, word in (x for x in lexicon if x[0] == a):
-            has[p] = has[p] | low.contains(word)
-        cells.append(_cell(has[""] | has["NEG"] | has["POS"] | has["NEU"], _labels(*[has[p] for p in POLARITIES])))
+            found[p] = found[p] | has(word)
+        cells.append(_cell(found[""] | found["NEG"] | found["POS"] | found["NEU"], _labels(*[found[p] for p in POLARITIES])))
     return F.map_from_arrays(F.array(*map(F.lit, aspects)), F.array(*cells))
 
 
+def keyword_scores(text: Column, lexicon: Lexicon, aspects: tuple[str, ...] = ASPECTS) -> Column:
+    """The typed map of a text: an aspect is mentioned if one of its keywords is there; a bare mention is neutral."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return _cells(lambda word: low.contains(word), lexicon, aspects)
+
+
+def with_scores(df: DataFrame, text: str, lexicon: Lexicon, into: str, aspects: tuple[str, ...] = ASPECTS) -> DataFrame:
+    """``df`` with :func:`keyword_scores` as ``into``: each keyword is looked for once a text, in a projection of its own."""
+    words = sorted({w for a, _, w in lexicon if a in aspects})
+    flagged = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    flagged = flagged.withColumn("_flags", F.array(*[F.col("_low").contains(w) for w in words])).drop("_low")
+    return flagged.withColumn(into, _cells(lambda word: F.get("_flags", F.lit(words.index(word))), lexicon, aspects)).drop("_flags")
+
+
 def hits(text: Column, words: tuple[str, ...]) -> Column:
     """How many of the words the text holds, each once."""
     low = F.lower(F.coalesce(text, F.lit("")))

@@ -20,14 +20,21 @@ MATERIAL_LINE = r"Material\s*:\s*[^\n]+"
 
 #: Chat abbreviations and what they stand for.
 ABBREVIATIONS = {
-    "ko": "không", "k": "không", "khong": "không", "kg": "không", "hok": "không", "kh": "không", "éo": "không",
-    "dc": "được", "đc": "được", "đk": "được", "r": "rồi", "rùi": "rồi", "vs": "với", "j": "gì", "bt": "bình thường",
-    "mk": "mình", "mik": "mình", "cx": "cũng", "bn": "bạn", "b": "bạn", "tks": "cảm ơn", "thanks": "cảm ơn",
-    "nchung": "nói chung", "nhìu": "nhiều", "nhieu": "nhiều", "cty": "công ty", "nt": "nhắn tin", "ib": "nhắn tin",
-    "ibx": "nhắn tin", "inbox": "nhắn tin", "inb": "nhắn tin", "inbx": "nhắn tin", "sp": "sản phẩm", "i": "giống",
-    "sz": "cỡ", "sdt": "số điện thoại", "ok": "tốt", "oke": "tốt", "okey": "tốt", "okie": "tốt", "okeyy": "tốt",
-    "okiee": "tốt", "thik": "thích", "thix": "thích", "mn": "mọi người", "mng": "mọi người", "sr": "xin lỗi",
-    "sorry": "xin lỗi", "rep": "trả lời", "tl": "trả lời", "ship": "giao hàng", "h": "giờ", "lm": "làm",
+    "ko": "không", "k": "không", "khong": "không", "kg": "không", "hok": "không",
+    "dc": "được", "đc": "được", "đk": "được", "r": "rồi", "vs": "với",
+    "j": "gì", "bt": "bình thường", "mk": "mình", "mik": "mình",
+    "cx": "cũng", "bn": "bạn", "b": "bạn", "tks": "cảm ơn", "thanks": "cảm ơn",
+    "nchung": "nói chung", "nhìu": "nhiều", "nhieu": "nhiều",
+    "cty": "công ty", "nt": "nhắn tin", "sp": "sản phẩm",
+    "i": "giống", "sdt": "số điện thoại",
+    "ok": "tốt", "oke": "tốt", "okey": "tốt", "okie": "tốt",
+    "okeyy": "tốt", "okiee": "tốt", "thik": "thích",
+    "thix": "thích", "ib": "nhắn tin", "ibx": "nhắn tin",
+    "inbox": "nhắn tin", "inb": "nhắn tin", "inbx": "nhắn tin",
+    "sz": "cỡ", "mn": "mọi người", "mng": "mọi người",
+    "sr": "xin lỗi", "sorry": "xin lỗi", "éo": "không", "kh": "không",
+    "rep": "trả lời", "ship": "giao hàng", "h": "giờ",
+    "lm": "làm", "rùi": "rồi", "tl": "trả lời",
 }
 
 

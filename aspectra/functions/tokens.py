@@ -30,6 +30,27 @@ ENDINGS = {
     "adverb": ("ly", "ward", "wise", "ways"),
 }
 
+#: Clusters of a word by the first pattern that fits its lower-cased form; a word without any goes by its short shape.
+CLUSTERS = (
+    ("EMAIL_CLUSTER", EMAIL),
+    ("URL_CLUSTER", r"^https?://|^www\."),
+    ("CURRENCY_CLUSTER", "[$€£¥¢₹₽]"),
+    ("DATE_CLUSTER", r"^[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}"),
+    ("TIME_CLUSTER", "^[0-9]{1,2}:[0-9]{2}"),
+    ("NUMBER_CLUSTER", "^[.,]*[0-9][0-9.,]*$"),
+    ("ALPHANUMERIC_CLUSTER", "[0-9]"),
+    ("HYPHENATED_CLUSTER", "-"),
+    ("VERB_MORPH_CLUSTER", f"({'|'.join(ENDINGS['verb'])})$"),
+    ("NOUN_MORPH_CLUSTER", f"({'|'.join(ENDINGS['noun'])})$"),
+    ("ADJ_MORPH_CLUSTER", f"({'|'.join(ENDINGS['adjective'])})$"),
+    ("ADV_MORPH_CLUSTER", f"({'|'.join(ENDINGS['adverb'])})$"),
+)
+#: Base weight of each kind of feature.
+BASE_WEIGHTS = {
+    "suffix": 4.0, "prefix": 2.0, "shape": 3.0, "case": 2.5, "length": 1.0,
+    "bigram": 3.5, "trigram": 5.0, "cluster": 3.0, "morphology": 4.5,
+}
+
 
 def shape(word: Column) -> Column:
     """X for A-Z, x for a-z, d for digits, . for stops; 15 characters at most."""
@@ -59,6 +80,20 @@ def token_class(word: Column) -> Column:
     return chosen
 
 
+def pseudo_class(word: Column) -> Column:
+    """The class of a word that a vocabulary does not know: figures, all capitals, a capital first, -ing, then :func:`token_class`."""
+    case = case_pattern(word)
+    named = F.when(word.rlike("^[0-9]+$"), "NUM").when(case == "ALL_UPPER", "ALLCAPS").when(case == "TITLE_CASE", "CAP")
+    return named.when(F.lower(word).endswith("ing"), "SUFFIX_ING").otherwise(token_class(word))
+
+
+def cluster(word: Column) -> Column:
+    low, chosen = F.lower(word), F.concat(F.lit("SHAPE_"), short_shape(word), F.lit("_CLUSTER"))
+    for name, pattern in reversed(CLUSTERS):
+        chosen = F.when(low.rlike(pattern), name).otherwise(chosen)
+    return chosen
+
+
 def affixes(word: Column, most: int = 6) -> Column:
     """Array of (kind, n, value): the first and the last n characters."""
     low = F.lower(word)

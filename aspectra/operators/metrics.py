@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def f1(tp: Column, fp: Column, fn: Column) -> Column:
     return F.when(2 * tp + fp + fn > 0, 2.0 * tp / (2 * tp + fp + fn)).otherwise(0.0)
@@ -52,10 +54,11 @@ def nearest_rank(df: DataFrame, value: str, shares: dict[str, float]) -> DataFra
     """Values at rank round((n - 1) * p), half to even.
 
     Counts of distinct values are summed up first; ranks come from running sums
-    over the range-sorted values, so no value list is gathered.
+    within buckets of values, so no task sees all of them.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("hi", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    bounds = ranks.edges(df.where(F.col(value).isNotNull()).select(F.col(value).alias("v")), "v", ranks.width(df))
+    upto = ranks.running(counts, "v", "hi", weight="c", bounds=bounds)
     total = counts.agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
     at = lambda p: F.bround((F.col("n") - 1) * F.lit(p), 0)
     pick = lambda p: F.max(F.when((at(p) < F.col("hi")) & (at(p) >= F.col("hi") - F.col("c")), F.col("v")))

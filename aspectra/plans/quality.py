@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aspectra.functions import text as T
 from aspectra.functions import tokens as K
 from aspectra.operators import metrics as M
+from aspectra.operators import ranks
 
 from .registry import query, quoted, table, values
 from .scores import W
@@ -143,13 +144,9 @@ def oov_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("vocab_ids", f"WITH {WORDS}, c AS (SELECT lower(word) AS word FROM w GROUP BY ALL HAVING count(*) >= 2) SELECT word, row_number() OVER (ORDER BY encode(word)) - 1 AS id FROM c")
 def vocab_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids by byte order of the words: ranks within first-letter buckets after the buckets' starts."""
+    """Ids by byte order of the words."""
     c = words(spark, sf_dir).groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n")).where("n >= 2")
-    c = c.withColumn("bucket", F.substring(F.hex(F.encode("word", "UTF-8")), 1, 6))
-    sizes = c.groupBy("bucket").agg(F.count("*").alias("c"))
-    starts = sizes.select("bucket", F.coalesce(F.sum("c").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = c.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("word")))
-    return inside.join(starts, "bucket").select("word", (F.col("before") + F.col("k") - 1).alias("id"))
+    return ranks.running(c.select("word"), "word", "rank").select("word", (F.col("rank") - 1).cast("long").alias("id"))
 
 
 @query("tag_transitions", f"""WITH {WORDS}, p AS (SELECT CASE WHEN pos % 2 = 0 THEN tag ELSE 'odd' END AS tag, lead(CASE WHEN pos % 2 = 0 THEN tag ELSE 'odd' END) OVER (PARTITION BY sent ORDER BY pos) AS nxt FROM w),
@@ -161,24 +158,67 @@ def tag_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("tag")))
 
 
+SPAN = 3  # words of context on either side
+
+
 @query(
     "context_features",
-    f"""WITH {WORDS} SELECT sent, pos, lag(word) OVER s AS prev, lead(word) OVER s AS nxt, lag(word, 3) OVER s AS prev3, pos = 0 AS first, pos = count(*) OVER (PARTITION BY sent) - 1 AS last,
-  pos::DOUBLE / count(*) OVER (PARTITION BY sent) AS place FROM w WINDOW s AS (PARTITION BY sent ORDER BY pos)""",
+    f"""WITH {WORDS} SELECT sent, pos, lag(word) OVER s AS prev, lead(word) OVER s AS nxt, pos = 0 AS first, pos = count(*) OVER (PARTITION BY sent) - 1 AS last,
+  pos::DOUBLE / greatest(count(*) OVER (PARTITION BY sent) - 1, 1) AS place, CAST(least(count(*) OVER (PARTITION BY sent) // 5, 10) AS INTEGER) AS length_bin,
+  lower(lag(word) OVER s) || '_' || lower(word) AS bigram, lower(lag(word, 2) OVER s) || '_' || lower(lag(word) OVER s) || '_' || lower(word) AS trigram,
+  coalesce(regexp_matches(lag(word) OVER s, '[.,!?;:]'), false) AS after_punct, coalesce(regexp_matches(lead(word) OVER s, '[.,!?;:]'), false) AS before_punct
+  FROM w WINDOW s AS (PARTITION BY sent ORDER BY pos)""",
 )
 def context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours by offset in the sentence's own array: no shuffle."""
-    own = table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("sent"), T.tokens(F.col("text")).alias("ws"))
-    at = lambda k: F.when(F.col("pos") + k >= 0, F.get("ws", F.col("pos") + k))
     n = F.size("ws")
-    return own.select("*", F.posexplode("ws").alias("pos", "word")).select(
-        "sent", "pos", at(-1).alias("prev"), at(1).alias("nxt"), at(-3).alias("prev3"), (F.col("pos") == 0).alias("first"), (F.col("pos") == n - 1).alias("last"), (F.col("pos") / n).alias("place")
-    )
+    marked = lambda k: F.coalesce(_at(k).rlike("[.,!?;:]"), F.lit(False))
+    return _positions(spark, sf_dir).select(
+        "sent", "pos", _at(-1).alias("prev"), _at(1).alias("nxt"), (F.col("pos") == 0).alias("first"), (F.col("pos") == n - 1).alias("last"),
+        (F.col("pos") / F.greatest(n - 1, F.lit(1))).alias("place"), F.least(F.floor(n / 5), F.lit(10)).cast("int").alias("length_bin"),
+        _joined(2).alias("bigram"), _joined(3).alias("trigram"), marked(-1).alias("after_punct"), marked(1).alias("before_punct"),
+    )
+
+
+@query(
+    "context_window",
+    f"""WITH {WORDS} SELECT a.sent, a.pos, CAST(b.pos - a.pos AS INTEGER) AS away, lower(b.word) AS word, regexp_matches(b.word, '^\\p{{Lu}}') AS cap, CAST(length(lower(b.word)) AS INTEGER) AS size
+FROM w a JOIN w b ON a.sent = b.sent AND b.pos <> a.pos AND b.pos BETWEEN a.pos - {SPAN} AND a.pos + {SPAN}""",
+)
+def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word within three places of another, with its case and length."""
+    near = F.filter(F.sequence(F.greatest(F.col("pos") - SPAN, F.lit(0)), F.least(F.col("pos") + SPAN, F.size("ws") - 1)), lambda k: k != F.col("pos"))
+    own = _positions(spark, sf_dir).select("sent", "pos", "ws", F.explode(near).alias("k"))
+    word = F.get("ws", F.col("k"))
+    return own.select("sent", "pos", (F.col("k") - F.col("pos")).alias("away"), F.lower(word).alias("word"), word.rlike(r"^\p{Lu}").alias("cap"), F.length(F.lower(word)).alias("size"))
+
+
+def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sent, tag, ws, pos, word): each word with its whole sentence."""
+    own = table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("sent"), F.col("role").alias("tag"), T.tokens(F.col("text")).alias("ws"))
+    return own.select("*", F.posexplode("ws").alias("pos", "word"))
+
+
+def _at(k: int) -> Column:
+    return F.when(F.col("pos") + k >= 0, F.get("ws", F.col("pos") + k))
+
+
+def _joined(n: int) -> Column:
+    """The word and those before it, n in all, lower-cased; null where there are fewer."""
+    return F.when(F.col("pos") >= n - 1, F.lower(F.array_join(F.slice("ws", F.col("pos") - n + 2, F.lit(n)), "_")))
 
 
 SHAPE = "left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(word, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'd', 'g'), '[.,!?;:]', '.', 'g'), 15)"
 
 
+RUNS = "array_to_string(list_transform(range(1, len(string_split(shape, '')) + 1), lambda i: CASE WHEN i > 1 AND string_split(shape, '')[i] = string_split(shape, '')[i - 1] THEN '' ELSE string_split(shape, '')[i] END), '')"
+CASE_SQL = r"""CASE WHEN word = '' THEN 'EMPTY' WHEN regexp_matches(word, '\p{Lu}') AND NOT regexp_matches(word, '\p{Ll}') THEN 'ALL_UPPER'
+  WHEN regexp_matches(word, '\p{Ll}') AND NOT regexp_matches(word, '\p{Lu}') THEN 'ALL_LOWER'
+  WHEN regexp_matches(word, '\p{Lu}') AND NOT regexp_matches(word, '\p{L}\p{Lu}|(^|[^\p{L}])\p{Ll}') THEN 'TITLE_CASE'
+  WHEN regexp_matches(word, '^\p{Lu}') THEN 'FIRST_UPPER' ELSE 'MIXED_CASE' END"""
+CLUSTER_SQL = f"CASE {' '.join(f'WHEN regexp_matches(lower(word), {quoted(p)}) THEN {quoted(n)}' for n, p in K.CLUSTERS)} ELSE 'SHAPE_' || {RUNS} || '_CLUSTER' END"
+
+
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(spark, sf_dir).select("word").distinct()
 
@@ -214,16 +254,40 @@ def char_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary(spark, sf_dir).select("word", K.share(w, "[0-9]").alias("digits"), K.share(F.lower(w), "[aeiou]").alias("vowels"), F.round(K.complexity(w), 9).alias("complexity"))
 
 
-def feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.col("word")
-    pairs = {"suffix": F.right(F.lower(w), F.lit(3)), "prefix": F.left(F.lower(w), F.lit(3)), "shape": K.shape(w), "length": F.least(F.length(w), F.lit(10)).cast("string")}
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("type"), v.alias("value")) for k, v in pairs.items()]))
-    return words(spark, sf_dir).select("tag", each.alias("f")).groupBy("f.type", "f.value", "tag").agg(F.count("*").alias("n"))
+@query("short_shape", f"WITH {WORDS}, v AS (SELECT DISTINCT word, {SHAPE} AS shape FROM w) SELECT word, {RUNS} AS short FROM v")
+def short_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary(spark, sf_dir).select("word", K.short_shape(F.col("word")).alias("short"))
 
 
-FEATURES = f"""{WORDS}, e AS (SELECT tag, 'suffix' AS type, right(lower(word), 3) AS value FROM w UNION ALL SELECT tag, 'prefix', left(lower(word), 3) FROM w
-  UNION ALL SELECT tag, 'shape', {SHAPE} FROM w UNION ALL SELECT tag, 'length', CAST(least(length(word), 10) AS VARCHAR) FROM w),
-f AS (SELECT type, value, tag, count(*) AS n FROM e GROUP BY ALL)"""
+@query("word_cluster", f"WITH {WORDS}, v AS (SELECT DISTINCT word, {SHAPE} AS shape FROM w) SELECT word, {CLUSTER_SQL} AS cluster FROM v")
+def word_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocabulary(spark, sf_dir).select("word", K.cluster(F.col("word")).alias("cluster"))
+
+
+def feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine kinds of features by tag: words are counted by tag first, so what depends on the word alone is made once a word."""
+    w, low = F.col("word"), F.lower("word")
+    pair = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("value"))
+    affixes_ = F.transform(K.affixes(w), lambda a: F.struct(a["kind"].alias("type"), a["value"].alias("value")))
+    known = F.array(*[F.lit(e) for own in K.ENDINGS.values() for e in own])
+    endings = F.transform(F.filter(known, lambda e: low.endswith(e)), lambda e: pair("morphology", (F.length(e) / F.length(low)).cast("decimal(8,6)").cast("string")))
+    plain = F.array(pair("shape", K.shape(w)), pair("case", K.case_pattern(w)), pair("length", F.least(F.length(w), F.lit(20)).cast("string")), pair("cluster", K.cluster(w)))
+    counted = words(spark, sf_dir).groupBy("word", "tag").agg(F.count("*").alias("n"))
+    alone = counted.select("tag", "n", F.explode(F.concat(affixes_, endings, plain)).alias("f")).select("f.type", "f.value", "tag", "n")
+    before = F.array(pair("bigram", _joined(2)), pair("trigram", _joined(3)))
+    near = _positions(spark, sf_dir).select("tag", F.explode(F.filter(before, lambda x: x["value"].isNotNull())).alias("f")).select("f.type", "f.value", "tag", F.lit(1).cast("long").alias("n"))
+    return alone.unionByName(near).groupBy("type", "value", "tag").agg(F.sum("n").alias("n"))
+
+
+FEATURES = f"""{WORDS}, c AS (SELECT word, tag, count(*) AS n, {SHAPE} AS shape FROM w GROUP BY word, tag),
+k AS (SELECT *, CAST(unnest(range(1, least(6, length(word)) + 1)) AS INTEGER) AS i FROM c),
+e AS (SELECT tag, 'suffix' AS type, right(lower(word), i) AS value, n FROM k UNION ALL SELECT tag, 'prefix', left(lower(word), i), n FROM k
+  UNION ALL SELECT tag, 'shape', shape, n FROM c UNION ALL SELECT tag, 'length', CAST(least(length(word), 20) AS VARCHAR), n FROM c
+  UNION ALL SELECT tag, 'case', {CASE_SQL}, n FROM c UNION ALL SELECT tag, 'cluster', {CLUSTER_SQL}, n FROM c
+  UNION ALL SELECT tag, 'morphology', CAST(CAST(length(ending)::DOUBLE / length(word) AS DECIMAL(8,6)) AS VARCHAR), n FROM c JOIN {values([(e,) for own in K.ENDINGS.values() for e in own], "ending")} ON ends_with(lower(word), ending)
+  UNION ALL SELECT tag, 'bigram', lower(lag(word) OVER s) || '_' || lower(word), 1 FROM w WINDOW s AS (PARTITION BY sent ORDER BY pos)
+  UNION ALL SELECT tag, 'trigram', lower(lag(word, 2) OVER s) || '_' || lower(lag(word) OVER s) || '_' || lower(word), 1 FROM w WINDOW s AS (PARTITION BY sent ORDER BY pos)),
+f AS (SELECT type, value, tag, CAST(sum(n) AS BIGINT) AS n FROM e WHERE value IS NOT NULL GROUP BY ALL)"""
 PROBS = f"""{FEATURES}, g AS (SELECT type, value, sum(n)::DOUBLE AS total FROM f GROUP BY ALL HAVING sum(n) >= 2), t AS (SELECT DISTINCT tag FROM w),
 p AS (SELECT g.type, g.value, t.tag, (coalesce(f.n, 0) + 0.01::DOUBLE) / (g.total + 0.01::DOUBLE * (SELECT count(*) FROM t)) AS p FROM g CROSS JOIN t LEFT JOIN f ON f.type = g.type AND f.value = g.value AND f.tag = t.tag)"""
 
@@ -242,13 +306,17 @@ def feature_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("type", "value", "tag", F.round((F.coalesce(F.try_element_at("m", "tag"), F.lit(0)) + 0.01) / (F.col("total") + 0.01 * F.col("k")), 9).alias("p"))
 
 
+BASES = f"CASE type {' '.join(f'WHEN {quoted(k)} THEN {v}::DOUBLE' for k, v in K.BASE_WEIGHTS.items())} END"
+
+
 @query("feature_weights", f"""WITH {PROBS}, h AS (SELECT type, value, -sum(round(p, 9) * log2(round(p, 9))) AS h FROM p GROUP BY ALL)
-SELECT type, round(avg(h), 6) AS entropy, round((2 - avg(h) / log2((SELECT count(*) FROM t))) * (1 + count(*)::DOUBLE / (1 + (SELECT count(DISTINCT lower(word)) FROM w))), 6) AS weight FROM h GROUP BY type""")
+SELECT type, round(avg(h), 6) AS entropy, round({BASES} * (2 - avg(h) / log2((SELECT count(*) FROM t))) * (1 + count(*)::DOUBLE / (1 + (SELECT count(DISTINCT lower(word)) FROM w))), 6) AS weight FROM h GROUP BY type""")
 def feature_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = feature_probs(spark, sf_dir).groupBy("type", "value").agg((-F.sum(F.col("p") * F.log2("p"))).alias("h"), F.count("*").alias("k"))
     own = h.groupBy("type").agg(F.avg("h").alias("a"), F.count("*").alias("n"), F.max("k").alias("k"))
     size = words(spark, sf_dir).agg(F.count_distinct(F.lower("word")).alias("v"))
-    weight = (2 - F.col("a") / F.log2("k")) * (1 + F.col("n") / (1 + F.col("v")))
+    base = F.create_map(*[F.lit(x) for kv in K.BASE_WEIGHTS.items() for x in kv])[F.col("type")]
+    weight = base * (2 - F.col("a") / F.log2("k")) * (1 + F.col("n") / (1 + F.col("v")))
     return own.crossJoin(F.broadcast(size)).select("type", F.round("a", 6).alias("entropy"), F.round(weight, 6).alias("weight"))
 
 
@@ -256,19 +324,25 @@ GRAMS = f"""d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text),
 g AS (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS gram FROM d)"""
 
 
-def grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ws = T.tokens(F.lower("text"))
-    own = table(spark, sf_dir, "documents").select("doc_id", ws.alias("ws"))
-    pairs = F.transform(F.arrays_zip(F.col("ws").alias("a"), F.slice("ws", 2, F.greatest(F.size("ws") - 1, F.lit(0))).alias("b")), lambda x: F.when(x["b"].isNotNull(), F.concat_ws(" ", x["a"], x["b"])))
-    return own.select("doc_id", F.explode(F.concat("ws", F.filter(pairs, lambda x: x.isNotNull()))).alias("gram"))
+def grams(docs: DataFrame) -> DataFrame:
+    """(doc_id, gram, n): words and pairs of ``docs(doc_id, text)``, counted within each document's own array."""
+    own = docs.select("doc_id", T.tokens(F.lower("text")).alias("ws"))
+    pairs = F.zip_with(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))), F.slice("ws", 2, F.greatest(F.size("ws") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    own = own.select("doc_id", F.array_sort(F.concat("ws", pairs)).alias("g")).where(F.size("g") > 0)
+    # equal grams are neighbours now: a run's length is the distance to the next run's start
+    starts = F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: (i == 0) | (F.get("g", i) != F.get("g", i - 1)))
+    own = own.select("doc_id", "g", starts.alias("at"))
+    ends = F.concat(F.slice("at", 2, F.size("at")), F.array(F.size("g")))
+    own = own.select("doc_id", F.explode(F.zip_with("at", ends, lambda a, b: F.struct(F.get("g", a).alias("gram"), (b - a).cast("long").alias("n")))).alias("x"))
+    return own.select("doc_id", "x.gram", "x.n")
 
 
 @query("ngram_df_bounds", f"WITH {GRAMS} SELECT gram, count(DISTINCT doc_id) AS df, count(*) AS n FROM g GROUP BY gram HAVING count(DISTINCT doc_id) BETWEEN 5 AND 0.8 * (SELECT count(*) FROM documents) ORDER BY n DESC, gram LIMIT 1500")
 def ngram_df_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts within each document first, so the second aggregation moves one row per document and n-gram at most."""
-    once = grams(spark, sf_dir).groupBy("doc_id", "gram").agg(F.count("*").alias("c"))
+    """A document sends each of its n-grams once, with its count; sums start before the only shuffle."""
+    once = grams(table(spark, sf_dir, "documents").select("doc_id", "text"))
     total = table(spark, sf_dir, "documents").agg(F.count("*").alias("docs"))
-    df = once.groupBy("gram").agg(F.count("*").alias("df"), F.sum("c").alias("n")).crossJoin(F.broadcast(total))
+    df = once.groupBy("gram").agg(F.count("*").alias("df"), F.sum("n").alias("n")).crossJoin(F.broadcast(total))
     return df.where((F.col("df") >= 5) & (F.col("df") <= 0.8 * F.col("docs"))).select("gram", "df", "n").orderBy(F.desc("n"), "gram").limit(1500)
 
 
@@ -281,7 +355,8 @@ SELECT feature, chi2 FROM x ORDER BY chi2 DESC, feature LIMIT 500""",
 )
 def chi2_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    cells_ = grams(spark, sf_dir).join(labels, "doc_id").groupBy(F.col("gram").alias("feature"), "label").agg(F.count("*").alias("n"))
+    own = table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")  # texts without a label are not cut up
+    cells_ = grams(own.select(F.struct("doc_id", "label").alias("doc_id"), "text")).groupBy(F.col("gram").alias("feature"), F.col("doc_id.label").alias("label")).agg(F.sum("n").alias("n"))
     counts = labels.join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").groupBy("label").agg(F.count("*").alias("c"))
     classes = counts.crossJoin(F.broadcast(counts.agg(F.sum("c").alias("total")))).select("label", (F.col("c") / F.col("total")).alias("share"))
     return M.chi_square(cells_, classes).select("feature", F.round("chi2", 6).alias("chi2")).orderBy(F.desc("chi2"), "feature").limit(500)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aspectra.functions import text as T
+from aspectra.operators import ranks
 from aspectra.operators import reviews as R
 
 from .registry import query, table
@@ -127,7 +128,17 @@ def split_80_20(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT doc_id, quality, percent_rank() OVER (PARTITION BY quality ORDER BY {HASH}, doc_id) >= 0.8 AS held_out FROM labels",
 )
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").selectExpr("doc_id", "quality", f"percent_rank() OVER (PARTITION BY quality ORDER BY {HASH}, doc_id) >= 0.8D AS held_out")
+    """The last fifth of each label in the order of the hash, ranked in buckets."""
+    own = table(spark, sf_dir, "labels").selectExpr("doc_id", "quality", f"{HASH} AS h")
+    total = own.groupBy("quality").agg(F.count("*").alias("n"))
+    ranked = ranks.running(own, "h", "k", ("quality",), ("doc_id",), bounds=hash_bounds(own)).join(F.broadcast(total), "quality")  # as many rows as labels
+    return ranked.select("doc_id", "quality", (F.when(F.col("n") > 1, (F.col("k") - 1) / (F.col("n") - 1)).otherwise(0.0) >= 0.8).alias("held_out"))
+
+
+def hash_bounds(df: DataFrame) -> list[int]:
+    """Even cuts of the hash's range."""
+    n = ranks.width(df)
+    return [k * 1000003 // n for k in range(1, n)]
 
 
 @query("kfold", f"SELECT doc_id, CAST({HASH} % 5 AS INTEGER) AS fold FROM documents")
@@ -147,12 +158,9 @@ def random_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("shuffled_order", f"SELECT doc_id, row_number() OVER (ORDER BY {HASH}, doc_id) AS place FROM documents")
 def shuffled_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Global ranks from range-sorted partitions: each partition's start is the count before it, so no task sees all rows."""
-    sorted_ = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{HASH} AS h", f"CAST({HASH} / 15626 AS INT) AS bucket")
-    counts = sorted_.groupBy("bucket").agg(F.count("*").alias("c"))
-    starts = counts.select("bucket", F.coalesce(F.sum("c").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = sorted_.withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy("h", "doc_id")))
-    return inside.join(F.broadcast(starts), "bucket").select("doc_id", (F.col("before") + F.col("n")).alias("place"))  # 64 buckets
+    """Global ranks: the count of the buckets before plus the rank inside, so no task sees all rows."""
+    own = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{HASH} AS h")
+    return ranks.running(own, "h", "place", order=("doc_id",), bounds=hash_bounds(own)).select("doc_id", F.col("place").cast("long").alias("place"))
 
 
 @query(

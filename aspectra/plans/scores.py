@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aspectra.functions import sentiment as S
 from aspectra.functions import text as T
+from aspectra.operators import ranks
 from aspectra.operators import reviews as R
 
 from .registry import query, quoted, table
@@ -27,7 +28,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reviews(spark, sf_dir).withColumn("cells", S.keyword_scores(F.col("text"), LEXICON))
+    return S.with_scores(reviews(spark, sf_dir), "text", LEXICON, "cells")
 
 
 def legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,12 +115,13 @@ def kpi_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source AS product_id, doc_id AS review_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS seq, mean_sentiment FROM r""",
 )
 def review_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
+    """A product's reviews are ranked in buckets of ids, so one with a third of all is shared out."""
     said = F.filter(F.map_values("codes"), lambda c: c != 2)
     mean = F.when(F.size(said) > 0, F.aggregate(said, F.lit(0), lambda s, c: s + c) / F.size(said)).otherwise(0.0)
-    seq = F.row_number().over(Window.partitionBy("product_id").orderBy("review_id")) - 1
-    return legacy(spark, sf_dir).select("product_id", "review_id", seq.alias("seq"), mean.alias("mean_sentiment"))
+    ids = reviews(spark, sf_dir).select("review_id")
+    own = legacy(spark, sf_dir).select("product_id", "review_id", mean.alias("mean_sentiment"))
+    ranked = ranks.running(own, "review_id", "k", ("product_id",), bounds=ranks.edges(ids, "review_id", ranks.width(ids)))
+    return ranked.select("product_id", "review_id", (F.col("k") - 1).cast("int").alias("seq"), "mean_sentiment")
 
 
 W = T.SPACE

@@ -8,19 +8,13 @@ from pyspark.sql import functions as F
 from aspectra.functions import tokens as K
 from aspectra.operators import models
 
-from .quality import WORDS, tag_transitions, vocabulary, words
+from .quality import CASE_SQL, WORDS, tag_transitions, vocabulary, words
 from .registry import query, quoted, table, values
 from .scores import reviews
 
 ALPHA = 0.1
 DISCOUNT = 0.75
 
-CASE_SQL = r"""CASE WHEN word = '' THEN 'EMPTY' WHEN regexp_matches(word, '\p{Lu}') AND NOT regexp_matches(word, '\p{Ll}') THEN 'ALL_UPPER'
-  WHEN regexp_matches(word, '\p{Ll}') AND NOT regexp_matches(word, '\p{Lu}') THEN 'ALL_LOWER'
-  WHEN regexp_matches(word, '\p{Lu}') AND NOT regexp_matches(word, '\p{L}\p{Lu}|(^|[^\p{L}])\p{Ll}') THEN 'TITLE_CASE'
-  WHEN regexp_matches(word, '^\p{Lu}') THEN 'FIRST_UPPER' ELSE 'MIXED_CASE' END"""
-
-
 @query("case_pattern", f"WITH {WORDS} SELECT DISTINCT word, {CASE_SQL} AS pattern FROM w")
 def case_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary(spark, sf_dir).select("word", K.case_pattern(F.col("word")).alias("pattern"))
@@ -64,6 +58,23 @@ def tag_transitions_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("tag", "nxt", F.round(p, 9).alias("p"))
 
 
+@query(
+    "tag_transitions_interpolated",
+    f"""WITH {WORDS}, p AS (SELECT CASE WHEN pos % 2 = 0 THEN tag ELSE 'odd' END AS tag, lead(CASE WHEN pos % 2 = 0 THEN tag ELSE 'odd' END) OVER (PARTITION BY sent ORDER BY pos) AS nxt FROM w),
+c AS (SELECT tag, nxt, count(*) AS n FROM p WHERE nxt IS NOT NULL GROUP BY ALL), t AS (SELECT DISTINCT tag FROM c), s AS (SELECT tag, sum(n) AS total, least(0.95::DOUBLE, 0.85::DOUBLE + 0.1::DOUBLE * sum(n) / (sum(n) + 50)) AS l FROM c GROUP BY tag)
+SELECT s.tag, t.tag AS nxt, round(l * coalesce(c.n, 0) / total + (1 - l) / (SELECT count(*) FROM t), 9) AS p FROM s CROSS JOIN t LEFT JOIN c ON c.tag = s.tag AND c.nxt = t.tag""",
+)
+def tag_transitions_interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observed shares mixed with the uniform one, trusted the more the more of them there are."""
+    c = tag_transitions(spark, sf_dir).drop("p")
+    tags = c.select("tag").distinct().agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    s = c.groupBy("tag").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("nxt", "n"))).alias("m"))
+    each = s.crossJoin(F.broadcast(tags)).select("tag", "total", "m", F.size("tags").alias("k"), F.explode("tags").alias("nxt"))
+    trust = F.least(F.lit(0.95), 0.85 + 0.1 * F.col("total") / (F.col("total") + 50))
+    n = F.coalesce(F.try_element_at("m", "nxt"), F.lit(0))
+    return each.select("tag", "nxt", F.round(trust * n / F.col("total") + (1 - trust) / F.col("k"), 9).alias("p"))
+
+
 @query(
     "tag_emissions",
     f"""WITH {WORDS}, c AS (SELECT tag, lower(word) AS word, count(*) AS n FROM w GROUP BY ALL), t AS (SELECT tag, sum(n) AS total FROM c GROUP BY tag)
@@ -107,11 +118,17 @@ def svd_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.svd(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 10, 300)
 
 
-@query("pseudo_words", f"WITH {WORDS}, c AS (SELECT lower(word) AS low, count(*) AS n FROM w GROUP BY ALL), v AS (SELECT DISTINCT word FROM w) SELECT word, CASE WHEN c.n >= 3 THEN low ELSE CASE "
-    + " ".join(f"WHEN regexp_matches(word, {quoted(p)}) THEN {quoted('<' + n + '>')}" for n, p in K.TOKEN_CLASSES) + " ELSE '<WORD>' END END AS token FROM v JOIN c ON c.low = lower(v.word)")
+PSEUDO_SQL = (
+    f"CASE WHEN regexp_matches(word, '^[0-9]+$') THEN 'NUM' WHEN {CASE_SQL} = 'ALL_UPPER' THEN 'ALLCAPS' WHEN {CASE_SQL} = 'TITLE_CASE' THEN 'CAP' WHEN ends_with(lower(word), 'ing') THEN 'SUFFIX_ING' "
+    + " ".join(f"WHEN regexp_matches(word, {quoted(p)}) THEN {quoted(n)}" for n, p in K.TOKEN_CLASSES)
+    + " ELSE 'WORD' END"
+)
+
+
+@query("pseudo_words", f"WITH {WORDS}, c AS (SELECT lower(word) AS low, count(*) AS n FROM w GROUP BY ALL), v AS (SELECT DISTINCT word FROM w) SELECT word, CASE WHEN c.n >= 3 THEN low ELSE '<' || {PSEUDO_SQL} || '>' END AS token FROM v JOIN c ON c.low = lower(v.word)")
 def pseudo_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rare words by their class."""
     own = words(spark, sf_dir).select("word", F.lower("word").alias("low"))
     n = own.groupBy("low").agg(F.count("*").alias("n"))
-    token = F.when(F.col("n") >= 3, F.col("low")).otherwise(F.concat(F.lit("<"), K.token_class(F.col("word")), F.lit(">")))
+    token = F.when(F.col("n") >= 3, F.col("low")).otherwise(F.concat(F.lit("<"), K.pseudo_class(F.col("word")), F.lit(">")))
     return own.distinct().join(n, "low").select("word", token.alias("token"))
