@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,3 +101,13 @@ def first_filled(*columns: Column, skip_empty: bool) -> Column:
 def tokens(text: Column) -> Column:
     """Words between white space."""
     return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
+
+
+def percent(value: Column, mark: str = "%") -> Column:
+    """A number with one decimal and a mark."""
+    return F.concat(F.format_string("%.1f", F.bround(value, 1)), F.lit(mark))
+
+
+def segment(text: Column, segmenter: Callable[[Column], Column] | None = None) -> Column:
+    """The text as a segmenter joins its words; without one, or where it gives nothing, as it is."""
+    return text if segmenter is None else F.coalesce(segmenter(text), text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -11,7 +12,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import CountVectorizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aspectra.functions import sentiment as S
@@ -42,27 +43,79 @@ class KeywordScorer:
         return out
 
 
+class ReplyScorer:
+    """A back-end that answers one text at a time with a reply that holds JSON, e.g. ``{"aspect": "POS"}``, among other words."""
+
+    def __init__(self, reply: Callable[[str], str], aspects: tuple[str, ...] = S.ASPECTS) -> None:
+        self.reply, self.aspects = reply, aspects
+
+    def predict(self, texts: list[str]) -> list[list[int]]:
+        codes = {"POS": 1, "NEG": -1, "NEU": 0}
+        out = []
+        for text in texts:
+            said = self.reply(text)
+            low, high = said.find("{"), said.rfind("}")
+            flat = json.loads(said[low : high + 1]) if 0 <= low < high else {}
+            out.append([codes.get(flat.get(a), 2) for a in self.aspects])
+        return out
+
+
+def preferred(*makes: Callable[[], Scorer]) -> Callable[[], Scorer]:
+    """The first scorer that can be made; where none can, one that mentions no aspect, so a missing model stops nothing."""
+
+    def make() -> Scorer:
+        for one in makes:
+            try:
+                return one()
+            except Exception:  # noqa: BLE001, S112  a model may be missing or broken in any way
+                continue
+        return KeywordScorer(())
+
+    return make
+
+
+FORMATS = ("legacy", "multipolarity", "both")
+
+
 def scored_by(make: Callable[[], Scorer], text: Column, batch: int = 32) -> Column:
-    """map<aspect, code> by a scorer made once a worker; never evaluated twice for one output. A batch that fails gives nulls."""
+    """struct<codes map<aspect, code>, error> by a scorer made once a worker; never evaluated twice for one output.
+
+    A batch that fails gives every row of it the empty prediction, no aspect
+    mentioned, and the failure's text.
+    """
 
-    @F.pandas_udf("map<string,int>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("codes map<string,int>, error string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = make()
+        empty = dict.fromkeys(scorer.aspects, 2)
         for part in parts:
-            out: list[dict | None] = []
+            out: list[tuple[dict, str | None]] = []
             for k in range(0, len(part), batch):
                 texts = part.iloc[k : k + batch].fillna("").tolist()
                 try:
-                    out += [dict(zip(scorer.aspects, row, strict=True)) for row in scorer.predict(texts)]
-                except Exception:  # noqa: BLE001  a model may fail in any way; the rows stay, unscored
-                    out += [None] * len(texts)
-            yield pd.Series(out)
+                    out += [(dict(zip(scorer.aspects, row, strict=True)), None) for row in scorer.predict(texts)]
+                except Exception as error:  # noqa: BLE001  a model may fail in any way; the rows stay
+                    out += [(empty, f"{type(error).__name__}: {error}")] * len(texts)
+            yield pd.DataFrame(out, columns=["codes", "error"])
 
     return run.asNondeterministic()(text)
 
 
-def naive_bayes(train: DataFrame, test: DataFrame, text: str, label: str, vocabulary: int = 5000) -> DataFrame:
-    """Multinomial naive Bayes over word counts; everything is fitted on ``train`` only."""
+def predictions(df: DataFrame, make: Callable[[], Scorer], text: str, output: str = "both", batch: int = 32) -> DataFrame:
+    """``df`` with ``codes`` (legacy), ``cells`` (multipolarity) or both, and ``error``."""
+    if output not in FORMATS:
+        raise ValueError(f"{output!r} is none of {FORMATS}")
+    found = df.withColumn("_found", scored_by(make, F.col(text), batch))
+    made = {"codes": F.col("_found.codes"), "cells": F.transform_values("_found.codes", lambda _, c: S.legacy_cell(c))}
+    chosen = {"legacy": ["codes"], "multipolarity": ["cells"], "both": ["codes", "cells"]}[output]
+    return found.select(*df.columns, *[made[c].alias(c) for c in chosen], F.col("_found.error").alias("error"))
+
+
+def naive_bayes(train: DataFrame, test: DataFrame, text: str, label: str, vocabulary: int = 1 << 18) -> DataFrame:
+    """Multinomial naive Bayes over word counts; everything is fitted on ``train`` only.
+
+    ``vocabulary`` is the model's size, a parameter as in any count model; only words of two documents or more are in it.
+    """
     words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\s+")
     counts = CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=vocabulary, minDF=2)
     model = Pipeline(stages=[words, counts, NaiveBayes(featuresCol="_counts", labelCol=label, predictionCol="prediction")]).fit(train)
@@ -92,9 +145,9 @@ def tag(words: DataFrame, alpha: float = 0.1) -> DataFrame:
     tags = sorted(r["tag"] for r in low.select("tag").distinct().collect())
     n = len(tags)
     place = {t: k for k, t in enumerate(tags)}
-    nexts = low.select("sent", (F.col("pos") - 1).alias("pos"), F.col("tag").alias("nxt"))
     move = np.full((n, n), alpha)
-    for r in low.join(nexts, ["sent", "pos"]).groupBy("tag", "nxt").count().collect():
+    nxt = F.lead("tag").over(Window.partitionBy("sent").orderBy("pos"))
+    for r in low.withColumn("nxt", nxt).where("nxt IS NOT NULL").groupBy("tag", "nxt").count().collect():
         move[place[r["tag"]], place[r["nxt"]]] += r["count"]
     start, total = np.full(n, alpha), np.zeros(n)
     for r in low.groupBy("tag").agg(F.count_if(F.col("pos") == 0).alias("first"), F.count("*").alias("all")).collect():
@@ -140,6 +193,7 @@ def svd(df: DataFrame, key: str, text: str, k: int, vocabulary: int) -> DataFram
     matrix = np.zeros((n, n))
     matrix[cells["i"], cells["j"]] = cells["v"]
     basis = np.linalg.eigh(matrix)[1][:, ::-1][:, :k]
+    basis = basis * np.sign(basis[np.abs(basis).argmax(0), np.arange(basis.shape[1])])  # the largest entry of each is positive
 
     @F.pandas_udf("array<double>")
     def project(x: pd.Series) -> pd.Series:

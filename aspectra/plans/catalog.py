@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import live, parsing, quality, reshaping, scores, tagging
+from . import live, parsing, quality, reshaping, scores, service, streams, tagging
 from .registry import ORACLE_SQL, QUERIES, Query
 
-MODULES = (scores, parsing, reshaping, quality, tagging, live)
+MODULES = (scores, parsing, reshaping, quality, tagging, live, service, streams)
 
 
 def queries() -> dict[str, Query]:

@@ -53,13 +53,6 @@ def header_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.sniff_header(spark, path, "quality")
 
 
-@query("list_predictions", None)
-def list_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = files.scratch(spark, "predictions")
-    reviews(spark, sf_dir).repartition("product_id").write.partitionBy("product_id").parquet(path)
-    return files.listing(spark, path)
-
-
 def _streamed(spark: SparkSession, sf_dir: str, times: int = 1) -> DataFrame:
     """Documents as a stream of JSON events, parsed, scored and upserted ``times`` times over."""
     schema = table(spark, sf_dir, "documents").schema
@@ -126,12 +119,6 @@ def events_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.keep_first(timed(spark, sf_dir), F.struct("user_id", "event_type"), [F.col("ts"), F.col("event_id")]).select("event_id")
 
 
-@query("pandas_scorer", f"WITH {LONG} SELECT doc_id AS review_id, aspect, code FROM codes")
-def pandas_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = models.scored_by(lambda: models.KeywordScorer(LEXICON), F.col("text"))
-    return reviews(spark, sf_dir).select("review_id", codes.alias("codes")).select("review_id", F.explode("codes").alias("aspect", "code"))
-
-
 @query("nb_predict", None)
 def nb_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))

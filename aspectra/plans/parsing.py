@@ -27,31 +27,26 @@ def parse_event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("event_id", F.col("d.k").alias("k"), F.coalesce("d.product_id", F.lit("unknown")).alias("product_id"))
 
 
-MALFORMED = [
-    (1, '{"product_id":"p","review_content":"fine","rating":4.50,"timestamp":1.5}', "p", "fine", "4.5", False),
-    (2, "not json", "unknown", "", None, True),
-    (3, "", "unknown", "", None, True),
-    (4, '[{"product_id":"p"}]', "unknown", "", None, True),
-    (5, '{"product_id":"","content":"last"}', "", "last", None, False),
-    (6, '{"Product_ID":"x","reviewContent":"c","rating":true}', "unknown", "c", "true", False),
-    (7, "null", "unknown", "", None, True),
-]
+#: Payloads of every kind by row; the same text in both engines' SQL.
+MALFORMED = """CASE event_id % 8 WHEN 0 THEN concat('{"product_id":"p', event_id, '","review_content":"fine","rating":', user_id % 5, '}') WHEN 1 THEN concat('not json ', event_id) WHEN 2 THEN ''
+  WHEN 3 THEN concat('[', props, ']') WHEN 4 THEN '{"product_id":"","content":"last"}' WHEN 5 THEN 'null' WHEN 6 THEN '{"Product_ID":"x","reviewContent":"c","rating":true}' ELSE props END"""
+FIELDS = ("product_id", "review_content", "review_text", "reviewContent", "content", "rating", "review_id")
 
 
 @query(
     "malformed_events",
-    "SELECT CAST(n AS INTEGER) AS n, product_id, text, rating, malformed FROM "
-    + values([(n, p, t, r, m) for n, _, p, t, r, m in MALFORMED], "n, product_id, text, rating, malformed"),
+    f"""WITH r AS (SELECT event_id AS n, try_cast({MALFORMED} AS JSON) AS j FROM events)
+SELECT n, coalesce(j->>'$.product_id', 'unknown') AS product_id, coalesce({', '.join(f"j->>'$.{c}'" for c in FIELDS[1:5])}, '') AS text, j->>'$.rating' AS rating,
+  coalesce({', '.join(f"j->>'$.{c}'" for c in FIELDS)}) IS NULL AS malformed FROM r""",
 )
 def malformed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = literals(spark, [r[:2] for r in MALFORMED], "n int, raw string").withColumn("d", F.from_json("raw", EVENT))
-    empty = F.coalesce(*[F.col(f"d.{c}") for c in ("product_id", "review_content", "review_text", "reviewContent", "content", "rating", "review_id")]).isNull()
+    df = table(spark, sf_dir, "events").selectExpr("event_id AS n", f"{MALFORMED} AS raw").withColumn("d", F.from_json("raw", EVENT))
     return df.select(
         "n",
         F.coalesce("d.product_id", F.lit("unknown")).alias("product_id"),
-        T.first_filled(*[F.col(f"d.{c}") for c in ("review_content", "review_text", "reviewContent", "content")], skip_empty=False).alias("text"),
+        T.first_filled(*[F.col(f"d.{c}") for c in FIELDS[1:5]], skip_empty=False).alias("text"),
         F.col("d.rating").alias("rating"),
-        empty.alias("malformed"),
+        F.coalesce(*[F.col(f"d.{c}") for c in FIELDS]).isNull().alias("malformed"),
     )
 
 
@@ -86,20 +81,26 @@ URLS = [
 ]
 
 
-def _id_sql(url: str) -> str:
-    tries = [f"nullif(regexp_extract({url}, {quoted(p)}, 1), '')" for p in (*fields.ITEM_ID_PATTERNS, fields.ANY_ID)]
-    return f"coalesce({', '.join(tries)}, '')"
+URL = "url"
+
+
+def _id_sql(url: str, variant: str) -> str:
+    places, any_run = fields.ITEM_ID_VARIANTS[variant]
+    patterns = [fields.ITEM_ID_PATTERNS[k] for k in places] or [fields.API_ID]
+    tries = [f"nullif(regexp_extract({url}, {quoted(p)}, 1), '')" for p in patterns + [fields.ANY_ID] * any_run]
+    return f"coalesce({', '.join(tries)}{', ' + quoted('') if any_run else ', NULL'})"
 
 
 @query(
     "url_item_id",
-    f"SELECT CAST(n AS BIGINT) AS n, {_id_sql('url')} AS item_id, nullif(regexp_extract(url, {quoted(fields.API_ID)}, 1), '') AS api_id FROM "
+    f"SELECT CAST(n AS BIGINT) AS n, {', '.join(f'{_id_sql(URL, v)} AS {v}_id' for v in fields.ITEM_ID_VARIANTS)} FROM "
     f"(SELECT page_id AS n, url FROM pages UNION ALL SELECT -n, url FROM {values([(k + 1, u) for k, u in enumerate(URLS)], 'n, url')})",
 )
 def url_item_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every variant of the lookup, each with its own patterns."""
     extra = literals(spark, [(-k - 1, u) for k, u in enumerate(URLS)], "n long, url string")
     both = table(spark, sf_dir, "pages").select(F.col("page_id").alias("n"), "url").unionByName(extra)
-    return both.select("n", fields.item_id(F.col("url")).alias("item_id"), fields.item_id(F.col("url"), "api").alias("api_id"))
+    return both.select("n", *[fields.item_id(F.col("url"), v).alias(f"{v}_id") for v in fields.ITEM_ID_VARIANTS])
 
 
 @query(
@@ -110,19 +111,19 @@ def html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", *[fields.found(F.col("html"), p).alias(n) for n, p in fields.PAGE_FIELDS.items()])
 
 
-EMBEDDED = [
-    (1, 'x "itemId":"11","a":1,"name":"Cup","priceShow":"1.00","productUrl":"//shop.example/cup" y "itemId":"12","name":"Pot","priceShow":"2","productUrl":"https://shop.example/pot"'),
-    (2, "nothing"),
-]
+#: Pages with none, one or two products between their own text.
+EMBEDDED = """concat(html, CASE WHEN page_id % 3 > 0 THEN concat('"itemId":"', page_id, '","a":1,"name":"Cup ', page_id, '","priceShow":"1.00","productUrl":"//shop.example/cup"') ELSE '' END, html,
+  CASE WHEN page_id % 3 > 1 THEN concat(' "itemId":"12","name":"Pot","priceShow":"', page_id, '","productUrl":"https://shop.example/pot"') ELSE '' END)"""
 
 
 @query(
     "embedded_json",
-    "SELECT n, item_id, name, price, url FROM "
-    + values([(1, "11", "Cup", "1.00", "https://shop.example/cup"), (1, "12", "Pot", "2", "https://shop.example/pot")], "n, item_id, name, price, url"),
+    f"""WITH r AS (SELECT page_id AS n, {EMBEDDED} AS html FROM pages),
+x AS (SELECT n, {', '.join(f"unnest(regexp_extract_all(html, {quoted(fields.PRODUCT_JSON)}, {k})) AS {c}" for k, c in enumerate(("item_id", "name", "price", "u"), 1))} FROM r)
+SELECT n, item_id, name, price, CASE WHEN starts_with(u, '//') THEN 'https:' || u ELSE u END AS url FROM x""",
 )
 def embedded_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = literals(spark, EMBEDDED, "n int, html string")
+    df = table(spark, sf_dir, "pages").selectExpr("page_id AS n", f"{EMBEDDED} AS html")
     return df.select("n", F.explode(fields.products(F.col("html"))).alias("p")).select("n", "p.*")
 
 
@@ -144,18 +145,18 @@ def multi_to_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 A, B = S.ASPECTS[:2]
-REPLIES = [
-    (1, f'{{"{A}": "POS", "{B}": null}}', "POS", None),
-    (2, f'Sure! ```{{"{A}": "NEG"}}``` ok', "NEG", None),
-    (3, "no idea", None, None),
-    (4, f'{{"{A}": "GOOD", "{B}": "NEU"}}', None, "NEU"),
-    (5, None, None, None),
-]
+REPLIES = f"""CASE doc_id % 6 WHEN 0 THEN '{{"{A}": "POS", "{B}": null}}' WHEN 1 THEN concat('Sure! ```{{"{A}": "NEG"}}``` ok ', doc_id) WHEN 2 THEN concat('no idea ', doc_id)
+  WHEN 3 THEN '{{"{A}": "GOOD", "{B}": "NEU"}}' WHEN 4 THEN concat('{{"{B}": "', CASE WHEN doc_id % 4 = 0 THEN 'POS' ELSE 'NEG' END, '"}}') END"""
 
 
-@query("llm_to_multi", f"SELECT n, a, b, CAST({len(S.ASPECTS)} AS INTEGER) AS n_aspects FROM " + values([(n, a, b) for n, _, a, b in REPLIES], "n, a, b"))
+@query(
+    "llm_to_multi",
+    f"""WITH r AS (SELECT doc_id AS n, try_cast(regexp_extract({REPLIES}, '(?s)\\{{.*\\}}') AS JSON) AS j FROM documents),
+v AS (SELECT n, j->>'$."{A}"' AS a, j->>'$."{B}"' AS b FROM r)
+SELECT n, CASE WHEN a IN ('NEG', 'POS', 'NEU') THEN a END AS a, CASE WHEN b IN ('NEG', 'POS', 'NEU') THEN b END AS b, CAST({len(S.ASPECTS)} AS INTEGER) AS n_aspects FROM v""",
+)
 def llm_to_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = literals(spark, [r[:2] for r in REPLIES], "n int, reply string").withColumn("m", S.from_flat(S.parse_reply(F.col("reply"))))
+    df = table(spark, sf_dir, "documents").selectExpr("doc_id AS n", f"{REPLIES} AS reply").withColumn("m", S.from_flat(S.parse_reply(F.col("reply"))))
     label = lambda a: F.array_join(F.try_element_at("m", F.lit(a))["sentiments"], ",")
     return df.select("n", label(A).alias("a"), label(B).alias("b"), F.size("m").alias("n_aspects"))
 
@@ -182,15 +183,20 @@ def argmax_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.element_at(F.array(*map(F.lit, S.POLARITIES)), best.cast("int")).alias("label"))
 
 
-CELLS = [
-    ("-1", "NEG"), ("0", "NEU"), ("1", "POS"), ("2", None), ("", None), (None, None), ("nan", None), ("1.0", "POS"), ("-1,1", "NEG,POS"), ("[-1,1]", "NEG,POS"),
-    (" [ -1 , 1 ] ", "NEG,POS"), ("2,1", "POS"), ("7", "NEU"), ("x", "NEU"), ("0,1", "POS,NEU"),
-]
+#: Cells as sheets hold them.
+CELLS = ("-1", "0", "1", "2", "", "nan", "1.0", "-1,1", "[-1,1]", " [ -1 , 1 ] ", "2,1", "7", "x", "0,1")
+CELL = f"CASE doc_id % {len(CELLS) + 1} {' '.join(f'WHEN {k} THEN {quoted(c)}' for k, c in enumerate(CELLS))} END"
 
 
-@query("label_cells", "SELECT CAST(n AS INTEGER) AS n, labels FROM " + values([(k, lab) for k, (_, lab) in enumerate(CELLS)], "n, labels"))
+@query(
+    "label_cells",
+    f"""WITH r AS (SELECT doc_id AS n, trim(regexp_replace(trim(coalesce({CELL}, '')), '[\\[\\]]', '', 'g')) AS bare FROM documents),
+c AS (SELECT n, bare, list_transform(string_split(bare, ','), lambda x: try_cast(try_cast(trim(x) AS DOUBLE) AS INTEGER)) AS codes FROM r)
+SELECT n, CASE WHEN bare NOT IN ('', '2', 'nan') AND len(list_filter(codes, lambda k: k IS DISTINCT FROM 2)) > 0 THEN coalesce(nullif(array_to_string(list_filter([CASE WHEN list_contains(codes, -1) THEN 'NEG' END,
+  CASE WHEN list_contains(codes, 1) THEN 'POS' END, CASE WHEN len(list_filter(codes, lambda k: k IS NULL OR k NOT IN (-1, 1, 2))) > 0 THEN 'NEU' END], lambda x: x IS NOT NULL), ','), ''), 'NEU') END AS labels FROM c""",
+)
 def label_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = literals(spark, [(k, c) for k, (c, _) in enumerate(CELLS)], "n int, cell string")
+    df = table(spark, sf_dir, "documents").selectExpr("doc_id AS n", f"{CELL} AS cell")
     return df.select("n", F.array_join(S.cell_labels(F.col("cell")), ",").alias("labels"))
 
 
@@ -219,13 +225,16 @@ def flatten_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twice.withColumn("m", codes).select("review_id", "rating", *[F.element_at("m", a).alias(f"a{k}") for k, a in enumerate(S.ASPECTS)])
 
 
+SENTINEL = """CASE doc_id % 4 WHEN 0 THEN concat('{"a": ', doc_id % 3, '}') WHEN 1 THEN concat('{"error": "broken ', doc_id, '"}') WHEN 2 THEN concat('not json ', doc_id) ELSE '' END"""
+
+
 @query(
     "error_sentinel",
-    "SELECT n, error, n_cells FROM " + values([(1, None, 1), (2, "broken", None), (3, "not json", None), (4, "", None)], "n, error, n_cells"),
+    f"""WITH r AS (SELECT doc_id AS n, {SENTINEL} AS raw, try_cast({SENTINEL} AS JSON) AS j FROM documents)
+SELECT n, CASE WHEN j IS NULL THEN raw ELSE j->>'$.error' END AS error, CASE WHEN j IS NOT NULL AND j->>'$.error' IS NULL THEN 1 END AS n_cells FROM r""",
 )
 def error_sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, '{"a": 1}'), (2, '{"error": "broken"}'), (3, "not json"), (4, "")]
-    df = literals(spark, rows, "n int, raw string").withColumn("m", S.parse_payload(F.col("raw")))
+    df = table(spark, sf_dir, "documents").selectExpr("doc_id AS n", f"{SENTINEL} AS raw").withColumn("m", S.parse_payload(F.col("raw")))
     said = F.try_element_at(F.from_json("raw", "map<string,string>"), F.lit("error"))
     return df.select("n", F.when(F.col("m").isNull(), F.coalesce(said, "raw")).alias("error"), F.when(F.col("m").isNotNull(), F.size("m")).alias("n_cells"))
 
@@ -262,29 +271,31 @@ def display_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.display(F.col("text")).alias("shown"))
 
 
-COUNTS = [("(1.234)", 1234), ("12", 12), ("(5,000)", 5000), ("many", 0), ("", 0), (None, 0)]
-LIKES = [("12 likes", 12), ("(3)", 3), ("none", 0), (None, 0)]
+COUNTS = """CASE doc_id % 5 WHEN 0 THEN concat('(', 1 + doc_id % 9, '.', 100 + doc_id % 900, ')') WHEN 1 THEN concat('', doc_id) WHEN 2 THEN concat('(', 1 + doc_id % 9, ',000)') WHEN 3 THEN 'many' END"""
+LIKES = """CASE doc_id % 4 WHEN 0 THEN concat(doc_id, ' likes') WHEN 1 THEN concat('(', doc_id % 50, ')') WHEN 2 THEN 'none' END"""
+PAGING = """CASE page_id % 4 WHEN 0 THEN concat('Page ', 1 + page_id % 9, ' out of ', page_id) WHEN 1 THEN concat('Page1out of', page_id) WHEN 2 THEN concat('page ', page_id) END"""
+STARS = """concat(1 + doc_id % 7, CASE doc_id % 4 WHEN 0 THEN ' STAR' WHEN 1 THEN ' Sao' WHEN 2 THEN ' stars' ELSE ' all' END)"""
 
 
-@query("review_count_parse", "SELECT n, count FROM " + values([(k, c) for k, (_, c) in enumerate(COUNTS)], "n, count"))
+@query("review_count_parse", f"SELECT doc_id AS n, coalesce(try_cast(regexp_replace({COUNTS}, '[().,]', '', 'g') AS INTEGER), 0) AS count FROM documents")
 def review_count_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literals(spark, [(k, t) for k, (t, _) in enumerate(COUNTS)], "n int, t string").select("n", fields.review_count(F.col("t")).alias("count"))
+    return table(spark, sf_dir, "documents").selectExpr("doc_id AS n", f"{COUNTS} AS t").select("n", fields.review_count(F.col("t")).alias("count"))
 
 
-@query("like_count_parse", "SELECT n, likes FROM " + values([(k, c) for k, (_, c) in enumerate(LIKES)], "n, likes"))
+@query("like_count_parse", f"SELECT doc_id AS n, coalesce(try_cast(nullif(regexp_extract({LIKES}, '[0-9]+'), '') AS INTEGER), 0) AS likes FROM documents")
 def like_count_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literals(spark, [(k, t) for k, (t, _) in enumerate(LIKES)], "n int, t string").select("n", fields.first_number(F.col("t")).alias("likes"))
+    return table(spark, sf_dir, "documents").selectExpr("doc_id AS n", f"{LIKES} AS t").select("n", fields.first_number(F.col("t")).alias("likes"))
 
 
-@query("page_total", "SELECT n, total FROM " + values([(1, 12), (2, 3), (3, None)], "n, total"))
+@query("page_total", f"SELECT page_id AS n, try_cast(nullif(regexp_extract({PAGING}, {quoted(fields.PAGE_TOTAL)}, 2), '') AS INTEGER) AS total FROM pages")
 def page_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = literals(spark, [(1, "Page 1 out of 12"), (2, "Page2out of3"), (3, "no pages")], "n int, t string")
+    df = table(spark, sf_dir, "pages").selectExpr("page_id AS n", f"{PAGING} AS t")
     return df.select("n", fields.found(F.col("t"), fields.PAGE_TOTAL, 2).cast("int").alias("total"))
 
 
-@query("star_option", "SELECT n, star FROM " + values([(1, 5), (2, 1), (3, None)], "n, star"))
+@query("star_option", f"SELECT doc_id AS n, CASE WHEN regexp_full_match(lower({STARS}), '[1-5] (star|stars|sao)') THEN CAST(left({STARS}, 1) AS INTEGER) END AS star FROM documents")
 def star_option(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = literals(spark, [(1, "5 STAR"), (2, "1 Sao"), (3, "all")], "n int, t string").withColumn("low", F.lower("t"))
+    df = table(spark, sf_dir, "documents").selectExpr("doc_id AS n", f"lower({STARS}) AS low")
     chosen = F.coalesce(*[F.when(F.col("low").isin(f"{s} star", f"{s} stars", f"{s} sao"), s) for s in range(1, 6)])
     return df.select("n", chosen.alias("star"))
 
@@ -309,9 +320,12 @@ def url_scheme_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", fields.https(bare).alias("url"))
 
 
-@query("legacy_label_copy", "SELECT n, a, b FROM " + values([(1, "1", None), (2, None, "-1")], "n, a, b"))
+COPIES = f"""CASE doc_id % 3 WHEN 0 THEN concat('{{"{A}": ', doc_id % 3 - 1, ', "other": 5}}') WHEN 1 THEN concat('{{"{B}": ', doc_id % 2, '}}') END"""
+
+
+@query("legacy_label_copy", f"""SELECT doc_id AS n, CAST({COPIES} AS JSON)->>'$."{A}"' AS a, CAST({COPIES} AS JSON)->>'$."{B}"' AS b FROM documents""")
 def legacy_label_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = literals(spark, [(1, f'{{"{A}": 1, "other": 5}}'), (2, f'{{"{B}": -1}}')], "n int, j string").withColumn("m", F.from_json("j", "map<string,string>"))
+    df = table(spark, sf_dir, "documents").selectExpr("doc_id AS n", f"from_json({COPIES}, 'map<string,string>') AS m")
     return df.select("n", F.try_element_at("m", F.lit(A)).alias("a"), F.try_element_at("m", F.lit(B)).alias("b"))
 
 

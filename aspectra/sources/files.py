@@ -7,16 +7,19 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "emptyValue": '""', "nullValue": "\\N"}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below ``spark.checkpoint.dir``; only where that is unset (tests) a temporary folder is made."""
+    """A fresh folder name below ``spark.checkpoint.dir``; only where that is unset in local mode (tests) a temporary folder is made."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="aspectra-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -68,6 +71,11 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return df.groupBy("product_id").agg(F.count("*").alias("review_count"), F.max("_metadata.file_modification_time").alias("last_modified")).orderBy(F.desc("last_modified"), "product_id")
 
 
+def shown_time(moment: Column) -> Column:
+    """A time as people read it, in the session's zone."""
+    return F.date_format(moment, "yyyy-MM-dd HH:mm:ss")
+
+
 def heads(df: DataFrame, n: int = 5) -> DataFrame:
     """The first rows of each file."""
     place = F.row_number().over(Window.partitionBy("_file").orderBy("_at"))
