@@ -115,6 +115,12 @@ def first_n_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.first_per_group(table(spark, sf_dir, "documents"), ["source"], [F.col("doc_id")], 5).select("doc_id", "source")
 
 
+@query("first_links", "SELECT DISTINCT source, lang FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 5")
+def first_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the first five rows of a group name, each once: rows are cut before repeats go."""
+    return R.first_per_group(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), ["source"], [F.col("doc_id")], 5).select("source", "lang").distinct()
+
+
 HASH = "(doc_id * 7919 + 104729) % 1000003"
 
 

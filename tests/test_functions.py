@@ -134,9 +134,19 @@ def test_scorer_failure_keeps_rows(spark):
             raise RuntimeError("down")
 
     df = spark.createDataFrame([("x",), (None,)], "t string")
-    assert [r["m"] for r in df.select(models.scored_by(Broken, F.col("t")).alias("m")).collect()] == [None, None]
+    got = [r["m"] for r in df.select(models.scored_by(Broken, F.col("t")).alias("m")).collect()]
+    assert [(m["codes"], m["error"]) for m in got] == [({"a": 2}, "RuntimeError: down")] * 2
     keyword = models.scored_by(lambda: models.KeywordScorer(LEXICON), F.col("t"))
-    assert len(df.select(keyword.alias("m")).first()["m"]) == len(S.ASPECTS)
+    assert len(df.select(keyword.alias("m")).first()["m"]["codes"]) == len(S.ASPECTS)
+
+
+def test_payloads_of_every_kind(spark):
+    """Cells, replies and numbers that tables rarely hold."""
+    cells = [("-1", "NEG"), ("0", "NEU"), (None, None), ("nan", None), ("1.0", "POS"), (" [ -1 , 1 ] ", "NEG,POS"), ("2,1", "POS"), ("x", "NEU"), ("0,1", "POS,NEU")]
+    assert run(spark, [c for c, _ in cells], F.array_join(S.cell_labels(F.col("t")), ",")) == [w for _, w in cells]
+    assert run(spark, ["(1.234)", "12", "(5,000)", "many", "", None], fields.review_count(F.col("t"))) == [1234, 12, 5000, 0, 0, 0]
+    assert run(spark, ["12 likes", "(3)", "none", None], fields.first_number(F.col("t"))) == [12, 3, 0, 0]
+    assert run(spark, ["Page 1 out of 12", "Page2out of3", "no pages"], fields.found(F.col("t"), fields.PAGE_TOTAL, 2)) == ["12", "3", None]
 
 
 def test_viterbi_brute_force():
