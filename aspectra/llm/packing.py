@@ -38,7 +38,7 @@ from .spark import materialize
 CAPACITY = 4096
 END_ID = 1
 UNIT = 16
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 
 #: How the tokenizer splits a lower-cased text into words, and what may differ between its libraries and ours.

@@ -55,7 +55,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def _small_batches(spark: SparkSession, most: str = "16m") -> Iterator[None]:
+def _small_batches(spark: SparkSession, most: str = "4m") -> Iterator[None]:
     """Arrow batches of at most ``most`` bytes while a table is written; the session's own setting comes back."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key, None)
