@@ -20,8 +20,9 @@ in a document with a smaller id.
 
 Contexts of one anchor that differ stay together, so memory grows with the
 number of different surroundings of the most frequent passage, not with its
-copies.  A null text is empty; rows without doc_id are left out; rows that
-repeat a doc_id remove nothing from one another.
+copies.  A null text is empty.  Rows that repeat a doc_id remove nothing from one
+another and are told apart by their texts; rows without doc_id come after all
+others, as one id that is larger than any.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark import materialize, release, shuffle_width
+from .spark import materialize, release, row_key, shuffle_width
 from .words import mix, packed, sliced, trim, unpacked, utf8
 
 LENGTH = 50
@@ -121,8 +122,10 @@ class Anchored:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, rank, raw): ``row`` names a row, or rows of one id and text; ``rank`` is compared: the id, or the largest long."""
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw"))
+    own = F.col("doc_id").cast("long")
+    return docs.select(own.alias("doc_id"), row_key(docs)[0].alias("row"), F.coalesce(own, F.lit((1 << 63) - 1)).alias("rank"), raw.alias("raw"))
 
 
 def _split(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
@@ -134,7 +137,7 @@ def _split(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
 
 
 def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, anchors): packed hashes of the anchors that a document shares with another."""
+    """(row, anchors): packed hashes of the anchors that a row shares with one of another rank."""
 
     shift = _U(64 - buckets.bit_length() + 1)
 
@@ -142,7 +145,7 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in sliced(batches, "raw", most=1 << 20, rows=4000):
             at, raw = utf8(batch.column("raw"))
             found = Anchored(at, raw)
-            ids = batch.column("doc_id").to_numpy()
+            ids = [batch.column(c).to_numpy().astype(np.int64).tobytes() for c in ("row", "rank")]
             order = np.lexsort((found.text, found.hash))
             x, text = found.hash[order], found.text[order]
             keep = np.ones(len(x), bool)
@@ -151,42 +154,46 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             rows = [(b, packed(x[i:j]), text[i:j].astype(np.uint16).tobytes()) for b, i, j in _split((x >> shift).astype(np.int64), buckets)]
             if rows:
                 b, hashes, texts = zip(*rows, strict=True)
-                names = pa.array([ids.astype(np.int64).tobytes()] * len(rows), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(hashes, pa.binary()), pa.array(texts, pa.binary()), names], names=["bucket", "hashes", "texts", "ids"])
+                names = pa.array([ids[0]] * len(rows), pa.binary())
+                ranks = pa.array([ids[1] if ids[1] != ids[0] else None] * len(rows), pa.binary())  # mostly ids name the rows
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(hashes, pa.binary()), pa.array(texts, pa.binary()), names, ranks], names=["bucket", "hashes", "texts", "rows", "ranks"])
 
     def meet(group: pa.Table) -> pa.Table:
-        hashes, owners = [], []
-        for h, t, i in zip(*(group.column(c).to_pylist() for c in ("hashes", "texts", "ids")), strict=True):
+        hashes, owners, compared = [], [], []
+        for h, t, i, r in zip(*(group.column(c).to_pylist() for c in ("hashes", "texts", "rows", "ranks")), strict=True):
             hashes.append(unpacked(h))
-            owners.append(np.frombuffer(i, np.int64)[np.frombuffer(t, np.uint16)])
-        x, doc = np.concatenate(hashes), np.concatenate(owners)
+            own = np.frombuffer(t, np.uint16)
+            owners.append(np.frombuffer(i, np.int64)[own])
+            compared.append(owners[-1] if r is None else np.frombuffer(r, np.int64)[own])
+        x, doc, rank = np.concatenate(hashes), np.concatenate(owners), np.concatenate(compared)
         order = np.argsort(x)
-        x, doc = x[order], doc[order]
+        x, doc, rank = x[order], doc[order], rank[order]
         start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-        several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
+        several = np.minimum.reduceat(rank, start) != np.maximum.reduceat(rank, start)
         keep = np.repeat(several, np.diff(np.append(start, len(x))))
         x, doc = x[keep], doc[keep]
         order = np.argsort(doc, kind="stable")  # each document's hashes stay sorted
         x, doc = x[order], doc[order]
         start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
         end = np.append(start[1:], len(doc))[: len(start)]
-        return pa.table({"doc_id": pa.array(doc[start]), "anchors": pa.array([packed(x[a:b]) for a, b in zip(start, end, strict=True)], pa.binary())})
+        return pa.table({"row": pa.array(doc[start]), "anchors": pa.array([packed(x[a:b]) for a, b in zip(start, end, strict=True)], pa.binary())})
 
-    return docs.mapInArrow(send, "bucket int, hashes binary, texts binary, ids binary").groupBy("bucket").applyInArrow(meet, "doc_id long, anchors binary")
+    sent = docs.mapInArrow(send, "bucket int, hashes binary, texts binary, rows binary, ranks binary")
+    return sent.groupBy("bucket").applyInArrow(meet, "row long, anchors binary")
 
 
-CONTEXT_SCHEMA = "bucket int, hashes binary, docs binary, lows binary, sizes binary, lefts binary, bytes binary, doc_id long, gone binary"
+CONTEXT_SCHEMA = "bucket int, hashes binary, docs binary, ranks binary, lows binary, sizes binary, lefts binary, bytes binary, row long, gone binary"
 
 
 def contexts(joined: DataFrame, buckets: int) -> DataFrame:
-    """What ``joined(doc_id, raw, anchors)`` sends to the sort: contexts, and (rows with a doc_id) byte ranges already known to go."""
+    """What ``joined(row, rank, raw, anchors)`` sends to the sort: contexts, and (records with a row) byte ranges already known to go."""
     shift = _U(64 - buckets.bit_length() + 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in sliced(batches, "raw", most=1 << 20, rows=4000):
             at, raw = utf8(batch.column("raw"))
-            ids = batch.column("doc_id").to_numpy()
+            ids, ranks = (batch.column(c).to_numpy() for c in ("row", "rank"))
             found = Anchored(at, raw)
             shared = np.zeros(len(found.text), bool)
             bounds = np.searchsorted(found.text, np.arange(len(ids) + 1))
@@ -199,20 +206,22 @@ def contexts(joined: DataFrame, buckets: int) -> DataFrame:
             content = [raw[a : a + n].tobytes() for a, n in zip(low.tolist(), size.tolist(), strict=True)]
             first: dict[tuple, int] = {}
             known = np.zeros(len(pick), bool)
-            for j in np.lexsort((low, ids[text])).tolist():  # the smallest id comes first
+            for j in np.lexsort((low, ranks[text])).tolist():  # the smallest id comes first
                 k = first.setdefault((int(x[j]), int(left[j]), content[j]), j)
                 if k != j:
-                    known[j] = ids[text[k]] < ids[text[j]]
+                    known[j] = ranks[text[k]] < ranks[text[j]]
             # A further copy in the same document has the same fate as the first, so it is sent as well unless its fate is known.
             sent = np.flatnonzero(~known)
             sent = sent[np.argsort(x[sent], kind="stable")]
-            columns: list[list] = [[] for _ in range(9)]
+            named = np.array_equal(ids, ranks)  # mostly ids name the rows
+            columns: list[list] = [[] for _ in range(10)]
             for b, i, j in _split((x[sent] >> shift).astype(np.int64), buckets):
                 own = sent[i:j]
                 row = (
                     b,
                     packed(x[own]),
                     ids[text[own]].astype(np.int64).tobytes(),
+                    None if named else ranks[text[own]].astype(np.int64).tobytes(),
                     (low[own] - at[text[own]]).astype(np.int64).tobytes(),
                     size[own].astype(np.uint8).tobytes(),
                     left[own].astype(np.uint8).tobytes(),
@@ -225,9 +234,9 @@ def contexts(joined: DataFrame, buckets: int) -> DataFrame:
             for t in np.unique(text[known]).tolist():
                 own = np.flatnonzero(known)[text[known] == t]
                 spans = np.column_stack([low[own] - at[t], low[own] - at[t] + size[own]]).astype(np.int64)
-                for c, v in zip(columns, (int(ids[t]) % buckets, *[None] * 6, int(ids[t]), joined_spans(spans).tobytes()), strict=True):
+                for c, v in zip(columns, (int(ids[t]) % buckets, *[None] * 7, int(ids[t]), joined_spans(spans).tobytes()), strict=True):
                     c.append(v)
-            kinds = [pa.int32(), *[pa.binary()] * 6, pa.int64(), pa.binary()]
+            kinds = [pa.int32(), *[pa.binary()] * 7, pa.int64(), pa.binary()]
             names = [c.split()[0] for c in CONTEXT_SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
@@ -300,21 +309,21 @@ def repeats(text: np.ndarray, group: np.ndarray, first: np.ndarray, last: np.nda
 
 
 def removed(sent: DataFrame) -> DataFrame:
-    """(doc_id, gone): byte ranges that the sort of each bucket removes, and those known before."""
+    """(row, gone): byte ranges that the sort of each bucket removes, and those known before."""
 
     def sort(group: pa.Table) -> pa.Table:
-        known = group.filter(group.column("doc_id").is_valid()).select(["doc_id", "gone"])
-        group = group.filter(group.column("doc_id").is_null())
+        known = group.filter(group.column("row").is_valid()).select(["row", "gone"])
+        group = group.filter(group.column("row").is_null())
         found = sort_contexts(group) if group.num_rows else known.slice(0, 0)
         trim()
         return pa.concat_tables([known.cast(found.schema), found])
 
     def sort_contexts(group: pa.Table) -> pa.Table:
         parts: list[tuple] = []
-        for h, d, lo, n, left, squeezed in zip(*(group.column(c).to_pylist() for c in ("hashes", "docs", "lows", "sizes", "lefts", "bytes")), strict=True):
+        for h, d, r, lo, n, left, squeezed in zip(*(group.column(c).to_pylist() for c in ("hashes", "docs", "ranks", "lows", "sizes", "lefts", "bytes")), strict=True):
             size = np.frombuffer(n, np.uint8).astype(np.int64)
-            parts.append((unpacked(h), np.frombuffer(d, np.int64), np.frombuffer(lo, np.int64), size, np.frombuffer(left, np.uint8).astype(np.int64), np.frombuffer(zstandard.decompress(squeezed), np.uint8)))
-        x, doc, low, size, left, flat = (np.concatenate(c) for c in zip(*parts, strict=True))
+            parts.append((unpacked(h), np.frombuffer(d, np.int64), np.frombuffer(d if r is None else r, np.int64), np.frombuffer(lo, np.int64), size, np.frombuffer(left, np.uint8).astype(np.int64), np.frombuffer(zstandard.decompress(squeezed), np.uint8)))
+        x, doc, rank, low, size, left, flat = (np.concatenate(c) for c in zip(*parts, strict=True))
         at = np.cumsum(size) - size
         order = np.argsort(x)
         new = np.concatenate([[True], x[order][1:] != x[order][:-1]])
@@ -334,7 +343,7 @@ def removed(sent: DataFrame) -> DataFrame:
                 text[some][row, first[some][row] + inner] = flat[at[own[some]][row] + inner]
             number = np.cumsum(new[edges[k] : edges[end]]) - 1
             least, most = np.full(len(own), SPAN), np.full(len(own), -1)
-            for c, rows in repeats(text, number, first, first + n - LENGTH, doc[own]):
+            for c, rows in repeats(text, number, first, first + n - LENGTH, rank[own]):
                 least[rows] = np.minimum(least[rows], c)
                 most[rows] = c
             rows = np.flatnonzero(most >= 0)  # a row's strings overlap one another, so what goes is one range
@@ -344,14 +353,14 @@ def removed(sent: DataFrame) -> DataFrame:
             k = end
         ids, all_spans = np.concatenate(docs), np.concatenate(spans)
         if not len(ids):
-            return pa.table({"doc_id": pa.array([], pa.int64()), "gone": pa.array([], pa.binary())})
+            return pa.table({"row": pa.array([], pa.int64()), "gone": pa.array([], pa.binary())})
         order = np.argsort(ids, kind="stable")
         ids, all_spans = ids[order], all_spans[order]
         start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         found = [joined_spans(s).astype(np.int64).tobytes() for s in np.split(all_spans, start[1:])]
-        return pa.table({"doc_id": pa.array(ids[start]), "gone": pa.array(found, pa.binary())})
+        return pa.table({"row": pa.array(ids[start]), "gone": pa.array(found, pa.binary())})
 
-    return sent.groupBy("bucket").applyInArrow(sort, "doc_id long, gone binary")
+    return sent.groupBy("bucket").applyInArrow(sort, "row long, gone binary")
 
 
 KEPT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -362,12 +371,13 @@ def without_repeats(docs: DataFrame, keep: bool = True) -> DataFrame:
     spark = docs.sparkSession
     buckets = 2 << max(4, (shuffle_width(spark) - 1).bit_length())
     raws = _texts(docs)
-    shared = materialize(shared_anchors(raws, buckets), "anchors")
+    shared = materialize(shared_anchors(raws.select("row", "rank", "raw"), buckets), "anchors")
     release(spark)
-    wanted = shared.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
-    gone = materialize(removed(contexts(raws.join(wanted, "doc_id"), buckets)), "gone")
+    wanted = shared.groupBy("row").agg(F.collect_list("anchors").alias("anchors"))
+    joined = raws.join(wanted, "row").select("row", "rank", "raw", "anchors")
+    gone = materialize(removed(contexts(joined, buckets)), "gone")
     release(spark)
-    gone = gone.groupBy("doc_id").agg(F.collect_list("gone").alias("gone"))
+    gone = gone.groupBy("row").agg(F.collect_list("gone").alias("gone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "raw"):
@@ -384,4 +394,4 @@ def without_repeats(docs: DataFrame, keep: bool = True) -> DataFrame:
             names = [c.split()[0] for c in KEPT_SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return raws.join(gone, "doc_id", "left").select("doc_id", "raw", "gone").mapInArrow(cut, KEPT_SCHEMA)
+    return raws.join(gone, "row", "left").select("doc_id", "raw", "gone").mapInArrow(cut, KEPT_SCHEMA)

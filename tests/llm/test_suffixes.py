@@ -55,6 +55,18 @@ def test_odd(spark, monkeypatch):
     assert suffixes.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_shared_and_missing_ids(spark):
+    """Rows that share an id or have none: each loses what smaller ids have, and nothing to rows of its own id."""
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(900))
+    other = "".join(chr(65 + (i * i + i // 5) % 26) for i in range(400))
+    rows = [(1, text), (2, "x" + text[100:220] + "y"), (2, other), (2, other), (None, other[:120]), (None, text), (None, "new " + other[200:300]), (None, None), (-5, text[500:600])]
+    df = spark.createDataFrame([(*r, "kept", k) for k, r in enumerate(rows)], "doc_id long, text string, row string, rank int").repartition(3)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffixes.without_repeats(df).collect())
+    last = 1 << 62
+    want = [(d == last, 0 if d == last else d, *rest) for d, *rest in brute([(last if d is None else d, t) for d, t in rows])]
+    assert got == sorted(want)
+
+
 def test_ranks_beyond_16_bits():
     """One anchor with more than 65,536 contexts, and a column that few of them reach."""
     rng = np.random.default_rng(8)
