@@ -164,7 +164,7 @@ def against_neighbours(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataF
         kept: dict[str, list] | None = None
         own: list[np.ndarray] = []
         for batch in sliced(batches):
-            got = {c: batch.column(c).to_pylist() for c in ("bucket", "guest", "doc_id", "text")}
+            got = {c: batch.column(c).to_pylist() for c in ("bucket", "guest", "doc_id", "text", "given")}
             prints = sketches(batch.column("text"), width, k)
             if kept:
                 got = {c: kept[c] + got[c] for c in got}
@@ -178,7 +178,7 @@ def against_neighbours(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataF
             marks = sketches(pa.array(edited, pa.large_string()), width, k)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": pa.array([ids[i] for i in ours], pa.int64()),
+                    "doc_id": pa.array([ids[i] if got["given"][i] else None for i in ours], pa.int64()),
                     "n_chars": pa.array([len(texts[i]) for i in ours], pa.int64()),
                     "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
                     "fingerprint": pa.array([to_text(prints[i]) for i in ours], pa.string()),

@@ -62,6 +62,18 @@ def test_op3_odd(spark):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def test_op3_without_ids(spark):
+    """Rows without doc_id come after all others; the text orders rows of one id; an own column keeps out of the way."""
+    rows = [(None, "b b b b b c", True), (9, "x1 x2 x3 x4 x5 x6", False), (None, "a a a a a a a", True), (-3, "y1 y2 y3 y4 y5 y6", False)]
+    got = sketches.against_neighbours(spark.createDataFrame(rows, "doc_id long, text string, given boolean")).collect()
+    order = ["x1 x2 x3 x4 x5 x6", "y1 y2 y3 y4 y5 y6", "a a a a a a a", "b b b b b c"]
+    want = set()
+    for d, a, b in zip((9, -3, None, None), order, order[1:] + order[:1], strict=True):
+        n = len(a)
+        want.add((d, hashlib.sha256((a[: n - n // 3] + b[: n // 3]).encode()).hexdigest()))
+    assert {(r["doc_id"], r["edited_sha256"]) for r in got} == want and len(got) == 4
+
+
 def test_sketch_merge(spark):
     random.seed(1)
     words = [str(random.random()) for _ in range(4000)]
