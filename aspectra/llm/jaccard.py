@@ -25,7 +25,8 @@ search for shared tiles; blocks share out its comparison.  Texts stay where
 they are but for those of classes in tiles.
 
 A null text, or one without words, has the empty set and links with nothing;
-fewer words than a shingle has make one shingle; repeated rows share a class.
+fewer words than a shingle has make one shingle; repeated rows share a class;
+rows that share a doc_id but not their text are one node under that id.
 """
 
 from __future__ import annotations
@@ -372,10 +373,14 @@ def _within_tiles(members: DataFrame, arrays: DataFrame, sizes: DataFrame, num:
 
 
 def link_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id): components of the documents under links; all rows of ``docs``, rows without doc_id left out."""
-    docs = docs.where("doc_id is not null")
+    """(doc_id, n_shingles, component_id): components of the documents under links, for every row of ``docs``.
+
+    Rows without doc_id, which no component can be named after, link with nothing
+    and have no component.
+    """
     bands = Bands(num, den)
-    sets = materialize(_named_sets(docs, width, bands), "sets")
+    every = materialize(_named_sets(docs, width, bands), "sets")
+    docs, sets = docs.where("doc_id is not null"), every.where("doc_id is not null")
     of_class = [F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles"), F.min("slack").alias("slack")]
     classes = materialize(sets.where("n_shingles > 0").groupBy("d1", "d2").agg(*of_class), "classes")
     tiles = _shared_tiles(docs, width, bands).join(classes.select("d1", "id"), "d1").select("tile", "id")
@@ -399,7 +404,8 @@ def link_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
             label = components(links.union(more))
     own = classes.join(label, "id", "left").select("d1", "d2", F.coalesce("label", "id").alias("component_id"))
     known = sets.where("n_shingles > 0").join(own, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
-    return known.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    alone = every.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return known.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -409,13 +415,18 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     or have none, are only dropped where their texts are equal or linked.
     """
     row, number, comp, place, first = unused(docs, "row", "n", "comp", "place", "first")
-    keyed = docs.withColumn(row, row_key(docs))
+    key, plain = row_key(docs)
+    keyed = docs.withColumn(row, key)
     found = materialize(link_components(keyed.select(F.col(row).alias("doc_id"), "text"), width, num, den), "near")
     rows = found.groupBy(F.col("doc_id").alias(row)).agg(F.count("*").alias(number), F.first("component_id").alias(comp))
-    named = keyed.select(row, F.col("doc_id").cast("long").alias(place)).distinct()
-    rows = materialize(rows.join(named, row).select(row, number, comp, F.struct(F.col(place).isNull().alias("none"), F.col(place).alias("id"), F.col(row).alias("row")).alias(place)), "rows")
-    least = rows.groupBy(comp).agg(F.min(place).alias(first))
-    gone = materialize(rows.join(least, comp).where(F.col(row) != F.col(first)["row"]).select(row), "later")
+    if plain:  # a component is named after the row that stays
+        rows = materialize(rows, "rows")
+        gone = materialize(rows.where(F.col(row) != F.col(comp)).select(row), "later")
+    else:
+        named = keyed.select(row, F.col("doc_id").cast("long").alias(place)).distinct()
+        rows = materialize(rows.join(named, row).select(row, number, comp, F.struct(F.col(place).isNull().alias("none"), F.col(place).alias("id"), F.col(row).alias("row")).alias(place)), "rows")
+        least = broadcast_if_small(materialize(rows.groupBy(comp).agg(F.min(place).alias(first)), "least"))
+        gone = materialize(rows.join(least, comp).where(F.col(row) != F.col(first)["row"]).select(row), "later")
     kept = keyed.join(broadcast_if_small(gone), row, "left_anti")
     kept = kept if rows.where(F.col(number) > 1).isEmpty() else kept.dropDuplicates([row])
     return kept.select(docs.columns)

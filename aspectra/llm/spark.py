@@ -108,8 +108,8 @@ def about(df: DataFrame, key: Column, most: int) -> DataFrame:
     return df if n <= wanted else df.where(key <= F.lit(int(wanted / n * (1 << 64)) - (1 << 63)))
 
 
-def row_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Column:
-    """A long that rows share only where doc_id and text agree (a null text is empty).
+def row_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Column, bool]:
+    """A long that rows share only where doc_id and text agree (a null text is empty), and whether it is the doc_id.
 
     The doc_id, where none is null and each has one text; else a hash of both
     that a second look found without collisions.
@@ -120,7 +120,7 @@ def row_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Colu
         seen = docs.select(key.alias("key"), mark(-1).alias("x"), mark(-2).alias("y"))
         seen = seen.groupBy("key").agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))])
         if seen.where("key is null or low_x <> high_x or low_y <> high_y").isEmpty():
-            return key
+            return key, key is own
     raise RuntimeError("no hash tells the rows apart")
 
 

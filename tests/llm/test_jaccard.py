@@ -73,6 +73,9 @@ def test_odd(spark):
     assert sorted(r["doc_id"] for r in jaccard.one_of_each(one).collect()) == [1, 2, 3]
     assert jaccard.one_of_each(one.limit(0)).columns == one.columns
     assert jaccard.link_components(one.limit(0)).count() == 0
+    none = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (4, "a b c d"), (None, None)], "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in jaccard.link_components(none).collect()))
+    assert got == [(0, 0, 0), (0, 2, 0), (0, 2, 0), (4, 2, 4)]
 
 
 def test_one_of_each_by_row(spark):
@@ -80,9 +83,9 @@ def test_one_of_each_by_row(spark):
     words = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
     a, b, c, d, e = map(words, "abcde")
     rows = [(None, a), (None, a), (None, b), (7, c), (7, d), (7, d + " more"), (8, c + " more"), (9, e), (None, e + " more"), (None, None), (5, None), (5, ""), (6, d)]
-    df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, label string").repartition(3)
+    df = spark.createDataFrame([(i, t, "z", f"{i}", 0.5) for i, t in rows], "doc_id long, text string, label string, _row string, _comp double").repartition(3)
     got = jaccard.one_of_each(df)
-    assert got.columns == df.columns
+    assert got.columns == df.columns and all((r["label"], r["_row"], r["_comp"]) == ("z", f"{r['doc_id']}", 0.5) for r in got.collect())
     got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in got.collect()))
     assert got == sorted([(0, a), (0, b), (0, ""), (5, ""), (6, d), (7, c), (9, e)])
     plain = spark.createDataFrame([(2, a), (1, b), (3, a + " more")], "doc_id long, text string")
@@ -119,6 +122,38 @@ def test_links_between_bound():
                 assert root[i] == root[j]
 
 
+def test_members_that_collide(spark):
+    """Two sets of members with one least id, one number and, as it used to be summed, one 32-bit hash sum stay two."""
+    from pyspark.sql import functions as F
+
+    seen, pair = {}, None
+    rows = spark.range(1, 400_000).select(F.abs(F.xxhash64("id")).alias("id")).select("id", F.hash("id").alias("h")).collect()
+    for r in rows:
+        if r["h"] in seen:
+            pair = (seen[r["h"]], r["id"])
+            break
+        seen[r["h"]] = r["id"]
+    assert pair, "some two of so many ids share 32 bits"
+    df = spark.createDataFrame([(1, 0), (1, pair[0]), (2, 0), (2, pair[1]), (3, 0), (3, pair[1])], "tile long, id long")
+    names = {r["tile"]: tuple(r[c] for c in jaccard.MEMBERS) for r in df.groupBy("tile").agg(*jaccard._members("id")).collect()}
+    assert names[1] != names[2] and names[2] == names[3]
+
+
+@pytest.mark.parametrize("edges_a_task", [1 << 20, 40])
+def test_components_by_task(spark, monkeypatch, edges_a_task):
+    """A chain, a star and a few pairs, joined up in one task or in many that each see some edges."""
+    from aspectra.llm import spark as shared
+
+    monkeypatch.setattr(shared, "EDGES", edges_a_task)
+    rng = random.Random(6)
+    ids = rng.sample(range(10**6), 700)
+    edges = list(zip(ids[:300], ids[1:300])) + [(ids[300], k) for k in ids[301:600]] + list(zip(ids[600::2], ids[601::2])) + [(5, 5)]
+    rng.shuffle(edges)
+    got = {r["id"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
+    want = {k: min(g) for g in (ids[:300], ids[300:600], *[ids[i : i + 2] for i in range(600, 700, 2)]) for k in g}
+    assert got == want and components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(2)
     ids = list(range(0, 400))
