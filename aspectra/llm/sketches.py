@@ -154,9 +154,11 @@ def against_neighbours(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataF
 
     The edited text: the last floor(n_chars / 3) code points replaced by the
     first as many (or all) of the next document.  Of documents with one doc_id
-    the text orders them; rows without doc_id are left out.
+    the text orders them; rows without doc_id come after all others, as if theirs
+    were the least long.
     """
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    number = F.col("doc_id").cast("long")
+    df = docs.select(F.coalesce(number, F.lit(-(1 << 63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), number.isNotNull().alias("given"))
     if df.isEmpty():
         return df.sparkSession.createDataFrame([], NEIGHBOUR_SCHEMA)
 
