@@ -11,7 +11,7 @@ from .spark import table
 
 def op5_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(warc.with_roles(table(spark, sf_dir, "pages")))
-    chunks = warc.read_chunks(manifest, data=False).where("last")
+    chunks = warc.read_chunks(manifest).where("last")
     return chunks.select(
         "page_id",
         F.col("length_so_far").alias("payload_bytes"),

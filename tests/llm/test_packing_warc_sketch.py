@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from aspectra.llm import packing, q_packing, q_sketches, q_warc, sketches, warc
 
@@ -111,10 +112,30 @@ def test_warc_chunks(spark):
     last = sorted((r["page_id"], r["record_type"], r["refers_to"], r["length_so_far"]) for r in chunks if r["last"])
     n = len(big.encode())
     assert last == [(1, "response", None, n), (2, "response", None, 0), (3, "revisit", 2, 0), (4, "revisit", 1, n), (4, "revisit", 1, n)]
+    assert len({r["record_id"] for r in chunks}) == len(rows)
     empty = warc.write_archives(warc.with_roles(spark.createDataFrame([], "page_id long, url string, html string")))
     assert warc.read_chunks(empty).count() == 0
 
 
+def test_warc_repeats_and_missing_ids(spark):
+    """One response a payload, whatever repeats; records without an id are kept; every record has its own name."""
+    rows = [(5, "u", "same"), (5, "v", "same"), (5, "u", "same"), (7, "u", "same"), (7, "u", "same"), (None, "u", "same"), (5, "u", "other"), (None, "n", "alone"), (None, "n", "alone"), (None, None, None)]
+    df = spark.createDataFrame([(*r, "kept") for r in rows], "page_id long, url string, html string, digest string").repartition(4)
+    chunks = warc.read_chunks(warc.write_archives(warc.with_roles(df))).collect()
+    assert len(chunks) == len(rows) == len({r["record_id"] for r in chunks}) and all(r["last"] for r in chunks)
+    got = sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"]), r["length_so_far"]) for r in chunks)
+    want = [("5", "response", "None", 4), *[("5", "revisit", "5", 4)] * 2, *[("7", "revisit", "5", 4)] * 2, ("None", "revisit", "5", 4), ("5", "response", "None", 5)]
+    assert got == sorted([*want, *[("None", "response", "None", 5)] * 2, ("None", "response", "None", 0)])
+
+
+def test_warc_chunks_are_checked(spark, monkeypatch):
+    """A digest that the chunks do not have stops the writing."""
+    roles = warc.with_roles(spark.createDataFrame([(1, "u", "x" * 200_000)], "page_id long, url string, html string"))
+    assert warc.chunked(roles).count() == 4 and warc.chunked(roles).agg(F.sum(F.length("data"))).first()[0] == 200_000
+    with pytest.raises(Exception, match="do not have the digest"):
+        warc.write_archives(roles.withColumn("digest", F.lit("00" * 20)))
+
+
 def packed_well(rows, docs):
     from tokenizers import Tokenizer
 
