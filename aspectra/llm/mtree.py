@@ -5,34 +5,36 @@ component sqrt(M - |x|^2), M the largest squared norm, and a query gains 0.
 Vectors are dealt to the nearest of a bounded number of pivots; a pivot with
 many vectors (equal ones, say) is split by id.  Each share becomes pages of an
 M-tree: a routing object, a covering radius and each member's distance to the
-routing object.  Pages of a shard hang from inner nodes with radii and parent
-distances of their own.
+routing object.  Nodes of pages, and of nodes, up to one root have radii and
+parent distances of their own.
 
 A search takes nodes in the order of the least distance that their radius
 allows and stops when none can beat the k-th score; stored distances to the
-parent rule out pages and members without computing theirs.  Scores of what is
-left are whole numbers, compared exactly; equal scores go to the smaller id.
+parent rule out children and members without computing theirs.  Scores of what
+is left are whole numbers, compared exactly; equal scores go to the smaller id.
 
 Shards hold a bounded number of vectors; queries are read in blocks from a
 written table, so neither side is ever held whole.  Vectors that are null or
 hold null or non-finite components take no part; a shorter vector counts as
 filled up with zeros; a row is no candidate for a query with its own id.
+Repeated rows of a vector are a candidate each.
 """
 
 from __future__ import annotations
 
 import heapq
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spark import materialize, shared_dir, shuffle_width
+from .spark import about, materialize, shared_dir, shuffle_width
 
 PAGE = 128
 PIVOTS = 1024
@@ -70,81 +72,128 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T))
 
 
+class Node:
+    """A page of members or a routing node of children, each with its distance to the node's own routing object."""
+
+    def __init__(self, points: np.ndarray, radii: np.ndarray, children: list[Node] | None = None, ids: np.ndarray | None = None, x: np.ndarray | None = None) -> None:
+        """``points``: the members, or the children's routing objects; ``radii``: the children's, 0 of members."""
+        self.router = points[np.argmin(((points - points.mean(0)) ** 2).sum(1))]
+        far = _distances(points, self.router[None])[:, 0]
+        near = np.argsort(far, kind="stable")
+        self.far, self.radii, self.points = far[near], radii[near], points[near] if children else None  # members are not lifted again
+        self.children = [children[k] for k in near] if children else None
+        self.ids, self.x = (ids[near], x[near]) if children is None else (None, None)
+        self.radius = float((far + radii).max())
+
+
 class Tree:
-    """One shard: pages of at most ``PAGE`` members below inner nodes of ``FANOUT`` pages."""
+    """One shard: pages of at most ``PAGE`` members, and ``FANOUT`` nodes to a node above, up to one root."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, group: np.ndarray, most: float) -> None:
+        """``group``: members of one group share pages where they can."""
         order = np.lexsort((ids, group))
-        self.most = most
+        self.most, self.counted, self.root = most, 0, None
         points = lifted(x, most)
-        self.pages = []
+        level = []
         for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []:
             for k in range(0, len(own), PAGE):
                 rows = own[k : k + PAGE]
-                mean = points[rows].mean(0)
-                router = points[rows[np.argmin(((points[rows] - mean) ** 2).sum(1))]]
-                far = _distances(points[rows], router[None])[:, 0]
-                near = np.argsort(far, kind="stable")
-                self.pages.append((router, float(far.max()), ids[rows][near], x[rows][near], far[near]))
-        self.nodes = []
-        for k in range(0, len(self.pages), FANOUT):
-            own = list(range(k, min(k + FANOUT, len(self.pages))))
-            routers = np.array([self.pages[p][0] for p in own])
-            router = routers[np.argmin(((routers - routers.mean(0)) ** 2).sum(1))]
-            far = _distances(routers, router[None])[:, 0]
-            self.nodes.append((router, float(max(f + self.pages[p][1] for f, p in zip(far, own, strict=True))), own, far))
-        self.routers = np.array([n[0] for n in self.nodes])
-        self.counted = 0
-
-    def search(self, query_id: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id), equal scores by the smaller id."""
-        if not self.nodes:
+                level.append(Node(points[rows], np.zeros(len(rows)), ids=ids[rows], x=x[rows]))
+        while len(level) > 1:
+            level = _gathered(level)
+        self.root = level[0] if level else None
+
+    def search(self, query_id: int, q: np.ndarray, k: int, least: float = -np.inf) -> list[tuple[int, int]]:
+        """The k best (score, id) of those that reach ``least``, equal scores by the smaller id.
+
+        Nodes come in the order of the least distance that their radius allows;
+        stored distances rule out children and members before theirs are computed.
+        """
+        if self.root is None:
             return []
         point = np.append(q, 0.0)
         square = float(q @ q) + self.most
         slack = 1e-9 * (square + 1)
-        best: list[tuple[float, int]] = []  # a heap of (score, -id): its least is the one to beat
-        ahead = [(max(0.0, float(d) - n[1]), 0, i, float(d)) for i, (d, n) in enumerate(zip(_distances(point[None], self.routers)[0], self.nodes, strict=True))]
-        heapq.heapify(ahead)
+        whole = q @ q * self.most < 2.0**104  # then every sum of products is exact in doubles
+        best: list[tuple[int, int]] = []  # a heap of (score, -id): its least is the one to beat
+        d = float(np.sqrt(((point - self.root.router) ** 2).sum()))
+        ahead = [(max(0.0, d - self.root.radius), 0, d, self.root)]
+        number = 0
 
-        def hopeless(low: float) -> bool:
-            """No vector at this distance or farther reaches the k-th score."""
-            return len(best) == k and (square - low * low) / 2 + slack < best[0][0]
+        def reach() -> float:
+            """The largest distance at which a vector still reaches the score to beat."""
+            beat = max(least, best[0][0]) if len(best) == k else least
+            return np.inf if beat == -np.inf else float(np.sqrt(max(0.0, square - 2 * beat + 2 * slack))) * (1 + 1e-9) + 1e-6
 
         while ahead:
-            low, kind, i, d = heapq.heappop(ahead)
-            if hopeless(low):
+            low, _, d, node = heapq.heappop(ahead)
+            far = reach()
+            if low > far:
                 break
-            if kind == 0:
-                for p, far in zip(self.nodes[i][2], self.nodes[i][3], strict=True):
-                    router, radius = self.pages[p][:2]
-                    if hopeless(max(0.0, abs(d - far) - radius)):
-                        continue
-                    own = float(np.sqrt(((point - router) ** 2).sum()))
-                    heapq.heappush(ahead, (max(low, own - radius, 0.0), 1, p, own))
+            if node.children is not None:
+                live = np.flatnonzero(np.abs(d - node.far) - node.radii <= far)  # |d - far| bounds the child's distance from below
+                if len(live):
+                    own = np.sqrt(((node.points[live] - point) ** 2).sum(1))
+                    for j, one in zip(live.tolist(), own.tolist(), strict=True):
+                        bound = max(low, one - float(node.radii[j]))
+                        if bound <= far:
+                            number += 1
+                            heapq.heappush(ahead, (bound, number, one, node.children[j]))
                 continue
-            _, _, ids, x, far = self.pages[i]
-            a, b = 0, len(ids)
-            if len(best) == k:  # only members whose stored distance allows the k-th score
-                reach = np.sqrt(max(0.0, square - 2 * best[0][0] + 2 * slack)) * (1 + 1e-9) + 1e-6
-                a, b = np.searchsorted(far, d - reach), np.searchsorted(far, d + reach, "right")
-            scores = x[a:b] @ q
+            a, b = np.searchsorted(node.far, d - far), np.searchsorted(node.far, d + far, "right")
             self.counted += b - a
-            hopeful = np.arange(len(scores)) if len(best) < k else np.flatnonzero(scores >= best[0][0])
+            if whole:
+                scores = node.x[a:b] @ q
+                beat = max(least, best[0][0]) if len(best) == k else least
+                hopeful = np.flatnonzero(scores >= beat)
+            else:
+                asked = [int(v) for v in q]
+                scores = [sum(int(v) * w for v, w in zip(row, asked, strict=True)) for row in node.x[a:b]]
+                hopeful = [j for j, s in enumerate(scores) if s >= least]
             for j in hopeful:
-                vec = int(ids[a + j])
+                vec = int(node.ids[a + j])
                 if vec == query_id:
                     continue
-                one = (float(scores[j]), -vec)
+                one = (int(scores[j]), -vec)
                 if len(best) < k:
                     heapq.heappush(best, one)
                 elif one > best[0]:
                     heapq.heapreplace(best, one)
-        return [(int(s), -v) for s, v in best]
+        return [(s, -v) for s, v in best]
+
+
+def _gathered(level: list[Node]) -> list[Node]:
+    """The nodes above: each starts at the first node left and takes those nearest to it."""
+    routers, left, out = np.array([n.router for n in level]), np.arange(len(level)), []
+    while len(left):
+        far = ((routers[left] - routers[left[0]]) ** 2).sum(1)
+        own = left[np.argsort(far, kind="stable")[:FANOUT]]
+        out.append(Node(routers[own], np.array([level[k].radius for k in own]), children=[level[k] for k in own]))
+        left = np.setdiff1d(left, own, assume_unique=True)
+    return out
+
+
+def _read(folder: str, width: int, away: int | None) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(ids, vectors, scores to reach) of the queries in a folder, block by block; those at home in the shard ``away`` are left out."""
+    store, at = fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
+    for f in sorted(store.get_file_info(fs.FileSelector(at, allow_not_found=True)), key=lambda f: f.path):
+        if f.path.endswith(".parquet"):
+            with store.open_input_file(f.path) as source:
+                for batch in pq.ParquetFile(source).iter_batches(QUERIES):
+                    if away is not None:
+                        batch = batch.filter(pc.not_equal(batch.column("home"), away))
+                    x = _matrix(batch.column("x"), max(width, max((len(v) for v in batch.column("x")), default=0)))[:, :width]
+                    yield batch.column("vec_id").to_pylist(), x, batch.column("least").to_numpy(zero_copy_only=False)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score) for ``queries(vec_id, x)`` over ``vectors(vec_id, x)``, x arrays of whole numbers."""
+    """(query_id, rank, vec_id, score) for ``queries(vec_id, x)`` over ``vectors(vec_id, x)``, x arrays of whole numbers.
+
+    Rows of ``queries`` that share an id are one query, the least of their vectors.
+    A query is first answered by the shard of its own neighbourhood; its k-th
+    score there goes along to all other shards, which only answer with what
+    reaches it, and most of which its distance to their pivots rules out at once.
+    """
     spark = vectors.sparkSession
     vectors = materialize(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "x"), "vectors")
     ends = vectors.agg(
@@ -156,52 +205,90 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     if not ends["n"]:
         return empty
     width, most = max(1, ends["width"]), float(ends["most"])
-    folder = f"{shared_dir(spark)}/queries-{uuid.uuid4().hex}"
-    asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "x").groupBy("vec_id").agg(F.min("x").alias("x"))
-    asked.write.mode("overwrite").parquet(folder)
     wanted = min(PIVOTS, -(-ends["n"] // PAGE))
-    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).select("x").toArrow()
+    key = F.xxhash64("vec_id")
+    chosen = about(vectors, key, wanted).orderBy(key, "vec_id").limit(wanted).select("x").toArrow()
     pivots = lifted(_matrix(chosen.column("x").combine_chunks(), width), most)
+    wanted = len(pivots)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = lifted(_matrix(batch.column("x"), width), most)
-            near = _distances(points, pivots).argmin(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], names=["vec_id", "x", "pivot"])
-
-    placed = materialize(vectors.mapInArrow(dealt, "vec_id long, x array<long>, pivot int"), "placed")
-    sizes = {r["pivot"]: r["count"] for r in placed.groupBy("pivot").count().collect()}  # PIVOTS rows at most
+            # a query has no length of its own in the added component, so it is lifted by 0
+            x = _matrix(batch.column("x"), max(width, max((len(v) for v in batch.column("x")), default=0)))[:, :width]
+            points = lifted(x, most)
+            asked = batch.column("asked").to_numpy(zero_copy_only=False)
+            points[asked, -1] = 0.0
+            far = _distances(points, pivots)
+            near = far.argmin(1)
+            columns = [*batch.columns[:2], pa.array(near.astype(np.int32)), pa.array(far[np.arange(len(near)), near])]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "x", "pivot", "far"])
+
+    def placed(df: DataFrame, asked: bool, name: str) -> DataFrame:
+        own = df.select("vec_id", "x", F.lit(asked).alias("asked"))
+        return materialize(own.mapInArrow(dealt, "vec_id long, x array<long>, pivot int, far double"), name)
+
+    members = placed(vectors, False, "placed")
+    found = {r["pivot"]: r for r in members.groupBy("pivot").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # PIVOTS rows at most
     share = min(SHARD, max(1, -(-ends["n"] // shuffle_width(spark))))
     shard, pieces, room, first = {}, {}, 0, 0
-    for p in sorted(sizes):  # pivots fill shards in turn; one beyond a shard is dealt to several by id
-        if room + sizes[p] > share and room:
+    for p in _chain(pivots, sorted(found)):  # neighbouring pivots fill shards in turn; one beyond a shard is dealt to several by id
+        if room + found[p]["n"] > share and room:
             first, room = first + 1, 0
-        pieces[p] = -(-sizes[p] // share)
+        pieces[p] = -(-found[p]["n"] // share)
         shard[p] = first
         if pieces[p] > 1:
             first, room = first + pieces[p], 0
         else:
-            room += sizes[p]
-
-    def lookup(table: dict[int, int]) -> Column:
-        return F.get(F.array(*[F.lit(int(table.get(p, 0))) for p in range(wanted)]), F.col("pivot"))
-
-    sharded = placed.withColumn("shard", lookup(shard) + F.pmod(F.xxhash64("vec_id"), F.greatest(lookup(pieces), F.lit(1))).cast("int"))
+            room += found[p]["n"]
+    balls: dict[int, list[int]] = {}  # the pivots of each shard
+    for p in shard:
+        for k_ in range(pieces[p]):
+            balls.setdefault(shard[p] + k_, []).append(p)
+    radius = np.array([found[p]["far"] if p in found else 0.0 for p in range(wanted)])
+
+    lookup = spark.createDataFrame([(p, shard[p], pieces[p]) for p in shard], "pivot int, first int, pieces int")
+    at = (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("pieces"))).cast("int")
+    sharded = members.join(F.broadcast(lookup), "pivot").select("vec_id", "x", "pivot", at.alias("shard"))
+    asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "x").groupBy("vec_id").agg(F.min("x").alias("x"))
+    homes = placed(asked, True, "asked").join(F.broadcast(lookup), "pivot", "left").select("vec_id", "x", F.coalesce(at, F.lit(0)).alias("home"))
+    folder = f"{shared_dir(spark)}/queries-{uuid.uuid4().hex}"
+    homes.withColumn("least", F.lit(float("-inf"))).repartition("home", F.pmod(F.xxhash64("vec_id"), F.lit(4))).write.partitionBy("home").parquet(f"{folder}/home")
+
+    def searched(where: Callable[[int], str], home: bool) -> DataFrame:
+        def run(key: tuple, group: pa.Table) -> pa.Table:
+            own = int(key[0].as_py())
+            tree = Tree(group.column("vec_id").to_numpy(), _matrix(group.column("x").combine_chunks(), width), group.column("pivot").to_numpy(), most)
+            hits: list[tuple[int, int, int]] = []
+            for ids, x, least in _read(where(own), width, None if home else own):
+                live = range(len(ids))
+                if not home:  # no ball around a pivot of this shard comes near enough
+                    points = np.column_stack([x, np.zeros(len(x))])
+                    low = np.maximum(0.0, _distances(points, pivots[balls[own]]) - radius[balls[own]]).min(1)
+                    square = (x * x).sum(1) + most
+                    live = np.flatnonzero((square - low * low) / 2 + 1e-9 * (square + 1) + 1e-3 >= least)
+                for j in live:
+                    hits += [(ids[j], v, s) for s, v in tree.search(ids[j], x[j], k, least[j])]
+            columns = list(zip(*hits, strict=True)) if hits else [[], [], []]
+            return pa.table([pa.array(list(c), pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+        return sharded.groupBy("shard").applyInArrow(run, HIT_SCHEMA)
+
+    near = materialize(searched(lambda own: f"{folder}/home/home={own}", True), "near-hits")
+    bound = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("score").cast("double").alias("low"))  # beyond 2^53 rounded, hence a little less below
+    least = F.when(F.col("n") >= k, F.col("low") - F.abs("low") * 4.5e-16).otherwise(float("-inf"))
+    homes.join(bound, "vec_id", "left").select("vec_id", "x", "home", F.coalesce(least, F.lit(float("-inf"))).alias("least")).write.parquet(f"{folder}/all")
+    hits = near.unionByName(searched(lambda own: f"{folder}/all", False))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    def run(group: pa.Table) -> pa.Table:
-        tree = Tree(group.column("vec_id").to_numpy(), _matrix(group.column("x").combine_chunks(), width), group.column("pivot").to_numpy(), most)
-        store, at = fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
-        files = [f.path for f in store.get_file_info(fs.FileSelector(at)) if f.path.endswith(".parquet")]
-        hits: list[tuple[int, int, int]] = []
-        for path in sorted(files):
-            with store.open_input_file(path) as source:
-                for batch in pq.ParquetFile(source).iter_batches(QUERIES):
-                    x = _matrix(batch.column("x"), max(width, max((len(v) for v in batch.column("x")), default=0)))[:, :width]
-                    for query_id, q in zip(batch.column("vec_id").to_pylist(), x, strict=True):
-                        hits += [(query_id, v, s) for s, v in tree.search(query_id, q, k)]
-        columns = list(zip(*hits, strict=True)) if hits else [[], [], []]
-        return pa.table([pa.array(list(c), pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
-    found = sharded.groupBy("shard").applyInArrow(run, HIT_SCHEMA)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def _chain(points: np.ndarray, own: list[int]) -> list[int]:
+    """``own`` in an order in which each is followed by the nearest one that is left."""
+    left, out = list(own), []
+    while left:
+        if out:
+            far = ((points[left] - points[out[-1]]) ** 2).sum(1)
+            out.append(left.pop(int(far.argmin())))
+        else:
+            out.append(left.pop(0))
+    return out
