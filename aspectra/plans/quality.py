@@ -328,7 +328,7 @@ def grams(docs: DataFrame) -> DataFrame:
     """(doc_id, gram, n): words and pairs of ``docs(doc_id, text)``, counted within each document's own array."""
     own = docs.select("doc_id", T.tokens(F.lower("text")).alias("ws"))
     pairs = F.zip_with(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))), F.slice("ws", 2, F.greatest(F.size("ws") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    own = own.select("doc_id", F.array_sort(F.concat("ws", pairs)).alias("g")).where(F.size("g") > 0)
+    own = own.select("doc_id", F.sort_array(F.concat("ws", pairs)).alias("g")).where(F.size("g") > 0)
     # equal grams are neighbours now: a run's length is the distance to the next run's start
     starts = F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: (i == 0) | (F.get("g", i) != F.get("g", i - 1)))
     own = own.select("doc_id", "g", starts.alias("at"))

@@ -13,6 +13,7 @@ from aspectra.operators import gateway as G
 from aspectra.operators import models
 from aspectra.operators import reviews as R
 from aspectra.sources import files
+from aspectra.streaming.pipeline import spread
 
 from .registry import query, table
 from .scores import CARD_SQL, LEXICON, LONG, W, legacy, reviews, scored
@@ -96,7 +97,7 @@ def pandas_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
         raise FileNotFoundError("no artefact")
 
     make = models.preferred(broken, lambda: models.KeywordScorer(LEXICON))
-    found = models.predictions(reviews(spark, sf_dir), make, "text", "legacy")
+    found = models.predictions(spread(reviews(spark, sf_dir), salts=16), make, "text", "legacy")
     return found.select("review_id", F.explode("codes").alias("aspect", "code"))
 
 

@@ -60,6 +60,13 @@ def score(parsed: DataFrame, lexicon: S.Lexicon) -> DataFrame:
     return clean.withColumn("sentiment", S.keyword_scores(F.col("cleaned_text"), lexicon))
 
 
+def spread(df: DataFrame, key: str = "product_id", partitions: int = 4, salts: int = 1) -> DataFrame:
+    """``df`` dealt by product before a model sees it; with ``salts`` a product with many rows goes to as many tasks."""
+    if salts <= 1:
+        return df.repartition(partitions, key)
+    return df.repartition(partitions, key, F.pmod(F.xxhash64(F.to_json(F.struct(*df.columns))), F.lit(salts)))
+
+
 def to_messages(df: DataFrame) -> DataFrame:
     """Key and value for a broker: the product and the row as JSON."""
     return df.select(F.col("product_id").alias("key"), F.to_json(F.struct("*")).alias("value"))
