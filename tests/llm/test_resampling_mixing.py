@@ -1,3 +1,6 @@
+import math
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -8,25 +11,66 @@ ODD = "doc_id long, text string, lang string, source string, rate string"
 ROWS = [(1, None, None, None, "a"), (2, "", "en", "s", None), (None, "a b", "en", "s", "a"), (3, "x " * 30_000, "xx", "s", "a"), (3, "x " * 30_000, "xx", "s", "a")]
 
 
+FULL = (1 << 64) - 1
+
+
+def mixed(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & FULL
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & FULL
+    return x ^ (x >> 31)
+
+
+def plain_features(text):
+    """Buckets of a text's features, word by word in plain Python."""
+    base, words = 0x9E3779B97F4A7C15, []
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", text.encode()):
+        low = re.sub(rb"[A-Z]", lambda m: m[0].lower(), w)
+        h = mixed(sum(mixed((b + 1) * base & FULL) * pow(base, k, 1 << 64) for k, b in enumerate(low)) & FULL)
+        capitals = sum(65 <= b <= 90 for b in w)
+        symbol = 0 if 48 <= w[-1] <= 57 or 65 <= w[-1] <= 90 or w[-1] >= 97 else w[-1]
+        again = bool(words) and words[-1][0] == h
+        words.append((h, mixed((((min(capitals, 2) * 2 + again) * 256 + symbol) * 8 + min(len(w) // 4, 7)) + (1 << 32))))
+    out = [x for w in words for x in w]
+    for (h, a), (g, b) in zip(words, words[1:]):
+        out += [mixed((h * 0xD6E8FEB86659FD93 + g) & FULL), mixed((a * 0xA0761D6478BD642F + b) & FULL)]
+    return [x & (resampling.BUCKETS - 1) for x in out]
+
+
+def plain_gumbel(doc_id, seed=0):
+    u = ((mixed((doc_id + mixed(seed)) & FULL) >> 11) + 0.5) / (1 << 53)
+    return -math.log(-math.log(u))
+
+
+def test_features_against_plain_python():
+    texts = ["", "one", "Two two TWO, two", "é Ünï {x} 12 a_b [q]", "x" * 40 + " \t\r\n y\x0b z!", "AbC. AbC. abc."]
+    own, text = resampling.features(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert sorted(own[text == k].tolist()) == sorted(plain_features(t)), t
+
+
 def test_op2(spark, sf):
+    """The whole result from features, models and noise made anew in plain Python."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
     labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas()
-    good = np.sort(labels.doc_id[(labels.quality == 1) & (labels.toxic == 0)].to_numpy())
+    good = set(labels.doc_id[(labels.quality == 1) & (labels.toxic == 0)])
     raw, target = np.ones(resampling.BUCKETS), np.ones(resampling.BUCKETS)
-    for d, t in zip(docs.doc_id, docs.text, strict=True):
-        f, _ = resampling.features(pa.array([t]))
-        np.add.at(raw, f, 1)
+    found = {d: plain_features(t) for d, t in zip(docs.doc_id, docs.text, strict=True)}
+    for d, own in found.items():
+        np.add.at(raw, own, 1)
         if d in good:
-            np.add.at(target, f, 1)
+            np.add.at(target, own, 1)
     ratios = np.log(target / target.sum()) - np.log(raw / raw.sum())
-    m = np.array([resampling.means(pa.array([t]), ratios)[0] for t in docs.text])
-    draw = np.rint((resampling.SHARPNESS * m + resampling.gumbel(docs.doc_id.to_numpy(), 0)) * resampling.SCALE)
-    k = int((m >= resampling.LEAST).sum())
-    want = set(docs.doc_id[np.argsort(-draw)[:k]])
+    mean = {d: ratios[own].sum() / (len(own) + resampling.PRIOR) if own else 0.0 for d, own in found.items()}
+    draw = {d: round((resampling.SHARPNESS * m + plain_gumbel(d)) * resampling.SCALE) for d, m in mean.items()}
+    k = sum(m >= resampling.LEAST for m in mean.values())
+    want = set(sorted(draw, key=draw.get, reverse=True)[:k])
     got = q_resampling.op2_importance_resampling(spark, sf).collect()
     assert {r["doc_id"] for r in got} == want and len(got) == k
+    assert all(abs(r["draw"] - draw[r["doc_id"]]) <= 2 and abs(r["log_ratio"] - mean[r["doc_id"]]) < 1e-9 for r in got)
     bad = set(labels.doc_id[labels.quality == 0])
-    assert set(good) <= want and not bad & want
+    assert good <= want and not bad & want
 
 
 def test_kth(spark):
