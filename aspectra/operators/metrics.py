@@ -29,6 +29,27 @@ def micro_f1(truth: Column, pred: Column) -> Column:
     return f1(both, F.sum(F.size(pred)) - both, F.sum(F.size(truth)) - both)
 
 
+def evaluate(df: DataFrame, truth: str, pred: str, truth_set: str, pred_set: str) -> DataFrame:
+    """One row of a model's measures: mention F1 (macro), sentiment F1 by sample and micro over true mentions, their mean, accuracy.
+
+    ``truth`` and ``pred`` are 0 or 1 by cell, the sets the labels of a cell.
+    """
+    said = F.col(truth) == 1
+    t, p = F.when(said, F.col(truth_set)), F.when(said, F.col(pred_set))
+    total = F.size(t) + F.size(p)
+    sampled = F.avg(F.when(said, F.when(total > 0, 2.0 * F.size(F.array_intersect(t, p)) / total).otherwise(0.0)))
+    both, n_pred, n_true = (F.sum(F.when(said, F.size(x))) for x in (F.array_intersect(t, p), p, t))
+    macro = binary_macro(F.col(truth), F.col(pred))
+    return df.agg(
+        F.count("*").alias("n"),
+        macro.alias("mention_f1"),
+        sampled.alias("sentiment_f1"),
+        f1(both, n_pred - both, n_true - both).alias("micro_f1"),
+        ((macro + sampled) / 2).alias("combined_f1"),
+        F.avg((F.col(truth) == F.col(pred)).cast("int")).alias("accuracy"),
+    )
+
+
 def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
     return df.groupBy(truth, pred).agg(F.count("*").alias("n"))
 

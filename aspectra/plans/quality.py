@@ -56,6 +56,16 @@ def f1_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir).agg(((M.binary_macro(F.col("t"), F.col("p")) + sampled) / 2).alias("f1"))
 
 
+@query(
+    "evaluate_model",
+    f"""WITH {BASE}, s AS (SELECT * FROM b ORDER BY doc_id LIMIT 200), m AS (SELECT {MICRO} AS micro FROM s WHERE t = 1)
+SELECT count(*) AS n, {MACRO} AS mention_f1, avg({SAMPLES}) FILTER (t = 1) AS sentiment_f1, any_value(micro) AS micro_f1, (({MACRO}) + avg({SAMPLES}) FILTER (t = 1)) / 2 AS combined_f1, avg(CAST(t = p AS INT)) AS accuracy FROM s, m""",
+)
+def evaluate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All measures of a model on its first 200 labelled rows, the limit of an evaluation run."""
+    return M.evaluate(cells(spark, sf_dir).orderBy("doc_id").limit(200), "t", "p", "ts", "ps")
+
+
 @query(
     "f1_folds",
     f"WITH {BASE}, f AS (SELECT fold, {MACRO} AS f1 FROM b GROUP BY fold) SELECT avg(f1) AS mean, stddev_pop(f1) AS std, (SELECT fold FROM f ORDER BY f1 DESC, fold LIMIT 1) AS best FROM f",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aspectra.functions import sentiment as S
+from aspectra.operators import reviews as R
 from aspectra.sources import files
 from aspectra.streaming import batcher, pipeline
 
@@ -167,3 +168,13 @@ def stream_repeats_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in range(2):
         sink(batch.unionByName(batch), k)
     return spark.read.parquet(f"{out}/table").groupBy("review_id").agg(F.count("*").alias("n"))
+
+
+@query("stream_last", "SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 20")
+def stream_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live view: the last 20 events of a kind in the table that a stream has filled, each event once."""
+    out = files.scratch(spark, "last")
+    live = _live(spark, sf_dir, "events").select("event_id", "event_type", "ts")
+    pipeline.run(live, pipeline.upsert_sink(f"{out}/table", key="event_id", product="event_type"), f"{out}/checkpoint", "last").awaitTermination()
+    rows = spark.read.parquet(f"{out}/table")
+    return R.first_per_group(rows, ["event_type"], [F.desc("ts"), F.desc("event_id")], 20).select("event_id", "event_type")

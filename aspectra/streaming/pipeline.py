@@ -110,7 +110,8 @@ def upsert_sink(path: str, key: str = "review_id", extra: Sink | None = None, pr
             fresh = batch.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
         fresh = fresh.withColumn("bucket", _bucket(product))
         try:
-            old = spark.read.schema(f"{key} string, bucket int, batch_id long").parquet(path).where(F.col("batch_id") != batch_id)
+            kind = batch.schema[key].dataType.simpleString()
+            old = spark.read.schema(f"{key} {kind}, bucket int, batch_id long").parquet(path).where(F.col("batch_id") != batch_id)
             fresh = fresh.join(old.select("bucket", key), ["bucket", key], "left_anti")
         except AnalysisException as error:  # nothing is there before the first batch
             if not missing(error):

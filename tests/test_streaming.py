@@ -159,6 +159,14 @@ def test_the_same_row_of_an_id_stays(spark, tmp_path):
     assert len(kept) == 1
 
 
+def test_number_keys_over_batches(spark, tmp_path):
+    sink = pipeline.upsert_sink(str(tmp_path / "t"), key="n", product="p")
+    for k in range(3):
+        sink(spark.range(5 * k, 5 * k + 10).selectExpr("id AS n", "CAST(id % 3 AS STRING) AS p"), k)
+    got = spark.read.parquet(str(tmp_path / "t"))
+    assert sorted(r["n"] for r in got.collect()) == list(range(20))
+
+
 def test_kafka_messages(spark):
     df = spark.createDataFrame([("p", "1"), (None, "2")], "product_id string, review_id string")
     got = sorted((r["key"] or "", json.loads(r["value"])["review_id"]) for r in pipeline.to_messages(df).collect())
