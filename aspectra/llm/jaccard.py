@@ -19,9 +19,10 @@ members are still in several components are compared in full, in blocks of
 bounded size, and only between components: bit counts of hashed bitmaps bound
 the overlap from above, then sorted arrays are intersected.
 
-Skew.  A batch sends one member of a tile on and the rest beside it, so a tile
-with a third of all documents is as many records as there are batches in the
-search for shared tiles; blocks share out its comparison.  Texts stay where
+Skew.  A batch sends one member of a tile to where the tile's members meet and
+hands the rest on as they are, so a tile with a third of all documents is as
+many entries as there are batches in the search for shared tiles; blocks share
+out its comparison.  Texts stay where
 they are but for those of classes in tiles.
 
 A null text, or one without words, has the empty set and links with nothing;
@@ -34,12 +35,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spark import broadcast_if_small, components, materialize, release, row_key, shuffle_width, unused
+from .spark import broadcast_if_small, components, discard, materialize, release, row_key, shuffle_width, unused
 from .words import distinct_sets, mix, packed, shingle_hashes, sliced, trim, unpacked
 
 _U = np.uint64
@@ -202,7 +202,9 @@ def _needed(tiles: DataFrame, classes: DataFrame) -> DataFrame:
     slack = classes.select("id", F.explode("slack").alias("s")).select("id", "s.band", "s.slack")
     unsure = inside.groupBy("id", "band").agg(F.count("*").alias("n")).join(slack, ["id", "band"]).where("n > slack").select("id", "band")
     kept = inside.join(unsure, ["id", "band"], "left_semi").select("tile", "id")
-    return tiles.join(large, "tile", "left_anti").select("tile", "id").unionByName(kept)
+    out = materialize(tiles.join(large, "tile", "left_anti").select("tile", "id").unionByName(kept), "needed-tiles")
+    discard(tiles, inside)
+    return out
 
 
 def _shared_tiles(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
@@ -230,11 +232,13 @@ def _shared_tiles(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
             starts = np.concatenate([[0], ends[:-1]])
             full = np.flatnonzero(ends > starts)
             rest = ~alone
-            many = zip(starts[full], ends[full], strict=True)
-            rows = [(packed(tile[a:b][first[a:b]]), name[a:b][first[a:b]].tobytes(), packed(tile[a:b][rest[a:b]]), name[a:b][rest[a:b]].tobytes()) for a, b in many]
-            blobs = [pa.array(list(c), pa.binary()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.binary())] * 4
+            rows = [(k, packed(tile[a:b][first[a:b]]), name[a:b][first[a:b]].tobytes(), b"", b"") for k, a, b in zip(full.tolist(), starts[full], ends[full], strict=True)]
+            if rest.any():  # known to be shared: to any bucket, which passes them on
+                rows.append((int(tile[rest][0] >> _U(7)) % buckets, b"", b"", packed(tile[rest]), name[rest].tobytes()))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            blobs = [pa.array(list(c), pa.binary()) for c in columns[1:]]
             classes = pa.array([names.tobytes()] * len(rows), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *blobs, classes], names=["bucket", "tiles", "names", "near_tiles", "near_names", "classes"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(columns[0]), pa.int32()), *blobs, classes], names=["bucket", "tiles", "names", "near_tiles", "near_names", "classes"])
 
     def meet(group: pa.Table) -> pa.Table:
         def joined(tiles: str, names: str) -> tuple[np.ndarray, np.ndarray]:
@@ -299,32 +303,33 @@ def _within_large(members: DataFrame, arrays: DataFrame, sizes: DataFrame, num:
     sized = members.join(sizes, "id")
     blocks = sized.groupBy("tile").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("total"))
     blocks = blocks.select("tile", F.greatest(F.ceil(F.col("m") / BLOCK_MEMBERS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    blocks = broadcast_if_small(materialize(blocks, "blocks"))  # else a large tile's members meet in one task
     dealt = sized.join(blocks, "tile").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.select("tile", "id", "comp", "n_shingles", "block", other.alias("other"))
     dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other").join(arrays.select("id", "bits"), "id")
 
-    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
-        maps = folded([np.frombuffer(x, _U) for x in pdf["bits"]])
-        size, block = pdf["n_shingles"].to_numpy(), pdf["block"].to_numpy()
-        comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)[1]
-        one, live, every = int(pdf["i"].iloc[0]) == int(pdf["j"].iloc[0]), np.zeros(len(pdf), bool), np.arange(len(pdf))
+    def bound(group: pa.Table) -> pa.Table:
+        maps = folded([np.frombuffer(x, _U) for x in group.column("bits").to_pylist()])
+        size, block = (group.column(c).to_numpy() for c in ("n_shingles", "block"))
+        comp = np.unique(group.column("comp").to_numpy(), return_inverse=True)[1]
+        one, live, every = group.column("i")[0] == group.column("j")[0], np.zeros(len(size), bool), np.arange(len(size))
         for i in every:
             js = hopeful(maps, size, i, np.flatnonzero((comp != comp[i]) & (every > i) & (one | (block != block[i]))), num, den)
             if len(js):
                 live[i] = live[js] = True
-        return pdf.loc[live, ["tile", "i", "j", "id", "comp"]]
+        return group.select(["tile", "i", "j", "id", "comp"]).filter(pa.array(live))
 
-    live = dealt.groupBy("tile", "i", "j").applyInPandas(bound, "tile long, i int, j int, id long, comp long")
+    live = dealt.groupBy("tile", "i", "j").applyInArrow(bound, "tile long, i int, j int, id long, comp long")
     release(members.sparkSession)
     live = materialize(live.select(F.xxhash64("tile", "i", "j").alias("unit"), "id", "comp"), "live")
     summed = materialize(live.groupBy("unit").agg(*_members("id")), "live-units")
     unlike = broadcast_if_small(materialize(summed.groupBy(*MEMBERS).agg(F.min("unit").alias("unit")).select("unit"), "unlike-units"))
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets, ids = [np.frombuffer(x, _U) for x in pdf["shingles"]], pdf["id"].tolist()
-        found = links_between(sets, pdf["comp"].tolist(), None, num, den)
-        return pd.DataFrame([(ids[a], ids[b]) for a, b in found], columns=["a", "b"]).astype("int64")
+    def compare(group: pa.Table) -> pa.Table:
+        sets, ids = [np.frombuffer(x, _U) for x in group.column("shingles").to_pylist()], group.column("id").to_numpy()
+        found = np.array(links_between(sets, group.column("comp").to_pylist(), None, num, den), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(ids[found[:, 0]], pa.int64()), "b": pa.array(ids[found[:, 1]], pa.int64())})
 
     # Units that share members form a cluster; where that is small, each of its sets is sent once.
     live = live.join(unlike, "unit")
@@ -335,7 +340,7 @@ def _within_large(members: DataFrame, arrays: DataFrame, sizes: DataFrame, num:
     small = own.groupBy("label").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("total")).where((F.col("m") <= 2 * BLOCK_MEMBERS) & (F.col("total") <= BLOCK_SHINGLES)).select("label")
     groups = own.join(small, "label").select(F.col("label").alias("unit"), "id", "comp")
     rest = clustered.join(small, "label", "left_anti").select("unit", "id", "comp")
-    return groups.union(rest).join(arrays.select("id", "shingles"), "id").groupBy("unit").applyInPandas(compare, "a long, b long").distinct()
+    return groups.union(rest).join(arrays.select("id", "shingles"), "id").groupBy("unit").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _within_small(members: DataFrame, arrays: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
@@ -386,10 +391,11 @@ def link_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
     tiles = _shared_tiles(docs, width, bands).join(classes.select("d1", "id"), "d1").select("tile", "id")
     tiles = materialize(tiles, "tiles")
     release(docs.sparkSession)
-    tiles = materialize(_needed(tiles, classes), "needed-tiles")
-    summed = tiles.groupBy("tile").agg(*_members("id")).where("m > 1")
+    needed = _needed(tiles, classes)
+    summed = needed.groupBy("tile").agg(*_members("id")).where("m > 1")
     unlike = summed.groupBy(*MEMBERS).agg(F.min("tile").alias("tile")).select("tile", "least")  # of tiles with the same members one
-    tiles = materialize(tiles.join(broadcast_if_small(materialize(unlike, "unlike")), "tile"), "unlike-tiles")
+    tiles = materialize(needed.join(broadcast_if_small(materialize(unlike, "unlike")), "tile"), "unlike-tiles")
+    discard(needed)
     pairs = tiles.groupBy("id").agg(F.min("least").alias("b")).where("id <> b").select(F.col("id").alias("a"), "b")
     arrays = materialize(_arrays(docs, tiles.select("id").distinct(), width), "arrays")
     links = materialize(_tried(pairs, arrays, num, den), "links")
@@ -398,10 +404,12 @@ def link_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
     placed = materialize(tiles.join(label, "id", "left").select("tile", "id", F.coalesce("label", "id").alias("comp")), "placed")
     open_tiles = placed.groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("tile")
     members = materialize(placed.join(broadcast_if_small(materialize(open_tiles, "open")), "tile"), "open-tiles")
+    discard(tiles, placed)
     if not members.isEmpty():
         more = materialize(_within_tiles(members, arrays, classes.select("id", "n_shingles"), num, den), "more-links")
         if not more.isEmpty():
             label = components(links.union(more))
+    discard(members, arrays, links)
     own = classes.join(label, "id", "left").select("d1", "d2", F.coalesce("label", "id").alias("component_id"))
     known = sets.where("n_shingles > 0").join(own, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
     alone = every.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spark import materialize, unused
+from .spark import discard, materialize, unused
 
 MARGINS = ("source", "lang", "topic")
 ROUNDS = 100
@@ -73,11 +73,15 @@ def uniform(doc_id: Column) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def described(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``docs`` with their source, language, topic and tokens, and the names of these four columns."""
+def described(docs: DataFrame, topic_of: Column | None = None) -> tuple[DataFrame, list[str]]:
+    """``docs`` with their source, language, topic and tokens, and the names of these four columns.
+
+    ``topic_of``: the topic that any classifier has found; by default that of :data:`TOPICS`.
+    """
     names = unused(docs, *MARGINS, "tokens")
     text = F.coalesce(F.col("text"), F.lit(""))
-    values = (F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("lang"), F.lit("")), topic(text), n_tokens(text))
+    chosen = topic(text) if topic_of is None else F.coalesce(topic_of.cast("string"), F.lit(""))
+    values = (F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("lang"), F.lit("")), chosen, n_tokens(text))
     return docs.withColumns(dict(zip(names, values, strict=True))), names
 
 
@@ -182,7 +186,8 @@ def _rates_there(cells: DataFrame, budget: float) -> DataFrame:
             held, free, target = F.col("held"), F.col("free"), F.col("target")
             factor = _factor(target, held, free, choose, lambda a, b: F.least(F.lit(a), b), lambda a, b: F.greatest(F.lit(a), b))
             step = sums.select(m, factor.alias("f"))
-            fitted = materialize(fitted.join(step, m).select(*MARGINS, "n", (F.col("u") * F.col("f")).alias("u")), "raked")
+            before, fitted = fitted, materialize(fitted.join(step, m).select(*MARGINS, "n", (F.col("u") * F.col("f")).alias("u")), "raked")
+            discard(before, sums)
         if missed <= TOLERANCE:
             break
     return fitted.select(*MARGINS, "n", F.round(F.least(F.lit(1.0), "u"), DIGITS).alias("rate"))
@@ -223,7 +228,7 @@ def mix_described(own: DataFrame, names: list[str], budget: float = BUDGET) -> t
     return joined.withColumn(drawn, uniform(F.col("doc_id")) < F.col(rate)), rate, drawn
 
 
-def sample(docs: DataFrame, budget: float = BUDGET) -> DataFrame:
+def sample(docs: DataFrame, budget: float = BUDGET, topic_of: Column | None = None) -> DataFrame:
     """The documents drawn, with their own columns."""
-    mixed, _, drawn = mix_described(*described(docs), budget)
+    mixed, _, drawn = mix_described(*described(docs, topic_of), budget)
     return mixed.where(F.col(drawn)).select(docs.columns)

@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import time
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with _small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = weakref.ref(out), path
+    return out
+
+
+#: Where :func:`materialize` wrote the tables that are still referred to.
+_written: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more: what was made from them is written itself.
+
+    A store that the session's file systems cannot delete from keeps them, as does any frame that is no written table.
+    """
+    for df in tables:
+        known, path = _written.pop(id(df), (None, ""))
+        if known is not None and known() is df:
+            with contextlib.suppress(Exception):  # tidying up must not fail a job that has its result
+                jvm = df.sparkSession.sparkContext._jvm
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextlib.contextmanager
@@ -159,11 +180,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "label"])
 
     stars = materialize(links.coalesce(tasks).mapInArrow(own, "id long, label long"), "stars")
+    discard(links)
     if tasks == 1:
         return stars
     known = materialize(stars.groupBy("id").agg(F.min("label").alias("low"), F.max("label").alias("high")), "known")
     torn = stars.join(known.where("low <> high").select("id", "low"), "id").where("label <> low").select(F.col("label").alias("a"), F.col("low").alias("b"))
     far = _propagated(torn, max_rounds).select(F.col("id").alias("low"), F.col("label").alias("least"))
+    far = broadcast_if_small(materialize(far, "least"))  # a giant component is one key of it
     return known.join(far, "low", "left").select("id", F.coalesce("least", "low").alias("label"))
 
 
@@ -178,6 +201,7 @@ def _propagated(edges: DataFrame, max_rounds: int) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = materialize(both.where("a <> b").distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    old = labels
     for _ in range(max_rounds):
         seen = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("far")), "b").groupBy(F.col("a").alias("id")).agg(F.min("far").alias("low"))
         near = materialize(labels.join(seen, "id").select("id", "label", F.least("label", "low").alias("low")), "near-labels")
@@ -186,7 +210,9 @@ def _propagated(edges: DataFrame, max_rounds: int) -> DataFrame:
         jump = hooked.select(F.col("id").alias("low"), F.col("low").alias("jumped"))
         step = labels.join(hooked, "id").join(jump, "low").select("id", F.least("low", "jumped").alias("next"), "label")
         step = materialize(step, "labels")
-        labels = step.select("id", F.col("next").alias("label"))
+        discard(old, near, hooked)
+        old, labels = step, step.select("id", F.col("next").alias("label"))
         if step.where("label <> next").isEmpty():
+            discard(both)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
