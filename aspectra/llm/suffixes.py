@@ -6,7 +6,9 @@ in a document with a smaller id.
 1. Anchors.  Of the ``GRAM``-byte grams in a string of LENGTH bytes the one with
    the least hash (the leftmost of equals) is its anchor; equal strings have
    equal anchors at equal places.  Anchors of all documents meet by hash, packed
-   in a few bytes each; what only one document has is done with.
+   in a few bytes each; what only one document has is done with.  An anchor that
+   several documents of a batch have is known to be shared: the batch sends it
+   once, so a passage in a third of all documents is one entry a batch.
 2. Contexts.  For each shared anchor a document sends the bytes of all strings
    that it anchors (LENGTH + SPAN - 1 at most).  A batch sends equal contexts
    once, for the smallest id; the others are known to go.
@@ -32,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,6 +139,25 @@ def _split(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
         yield int(b), int(starts[b]), int(ends[b])
 
 
+def binaries(items: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary array whose k-th value holds the next ``counts[k]`` rows of ``items``, numbers of eight bytes."""
+    items = np.ascontiguousarray(items)
+    size = items.dtype.itemsize * (items.shape[1] if items.ndim > 1 else 1)
+    at = np.zeros(len(counts) + 1, np.int64)
+    np.cumsum(counts * size, out=at[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(at), pa.py_buffer(items.tobytes())]).cast(pa.binary())
+
+
+def _by_text(x: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(texts, the hashes of each)."""
+    order = np.argsort(text, kind="stable")
+    names, counts = np.unique(text, return_counts=True)
+    return names, binaries(x[order], counts)
+
+
+ANCHOR_SCHEMA = "bucket int, hashes binary, texts binary, rows binary, ranks binary, row long, anchors binary"
+
+
 def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     """(row, anchors): packed hashes of the anchors that a row shares with one of another rank."""
 
@@ -151,14 +173,35 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             keep = np.ones(len(x), bool)
             keep[1:] = (x[1:] != x[:-1]) | (text[1:] != text[:-1])
             x, text = x[keep], text[keep]
-            rows = [(b, packed(x[i:j]), text[i:j].astype(np.uint16).tobytes()) for b, i, j in _split((x >> shift).astype(np.int64), buckets)]
-            if rows:
-                b, hashes, texts = zip(*rows, strict=True)
-                names = pa.array([ids[0]] * len(rows), pa.binary())
-                ranks = pa.array([ids[1] if ids[1] != ids[0] else None] * len(rows), pa.binary())  # mostly ids name the rows
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(hashes, pa.binary()), pa.array(texts, pa.binary()), names, ranks], names=["bucket", "hashes", "texts", "rows", "ranks"])
+            start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+            rank = np.frombuffer(ids[1], np.int64)[text]
+            several = np.minimum.reduceat(rank, start) != np.maximum.reduceat(rank, start) if len(x) else np.zeros(0, bool)
+            known = np.repeat(several, np.diff(np.append(start, len(x))))
+            names = [c.split()[0] for c in ANCHOR_SCHEMA.split(", ")]
+            kinds = [pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.binary()]
+            if known.any():
+                texts, hashes = _by_text(x[known], text[known])
+                own = np.frombuffer(ids[0], np.int64)[texts]
+                none = pa.nulls(len(own), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array((own % buckets).astype(np.int32)), *[none] * 4, pa.array(own), hashes], names=names)
+            columns: list[list] = [[] for _ in range(7)]
+            sent = ~known
+            sent[start] = True
+            x, text = x[sent], text[sent]
+            for b, i, j in _split((x >> shift).astype(np.int64), buckets):
+                # mostly ids name the rows
+                row_ = (b, packed(x[i:j]), text[i:j].astype(np.uint16).tobytes(), ids[0], ids[1] if ids[1] != ids[0] else None, None, None)
+                for c, v in zip(columns, row_, strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     def meet(group: pa.Table) -> pa.Table:
+        known = group.filter(group.column("row").is_valid()).select(["row", "anchors"])
+        group = group.filter(group.column("row").is_null())
+        found = met(group) if group.num_rows else known.slice(0, 0)
+        return pa.concat_tables([known.cast(found.schema), found])
+
+    def met(group: pa.Table) -> pa.Table:
         hashes, owners, compared = [], [], []
         for h, t, i, r in zip(*(group.column(c).to_pylist() for c in ("hashes", "texts", "rows", "ranks")), strict=True):
             hashes.append(unpacked(h))
@@ -172,13 +215,10 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         several = np.minimum.reduceat(rank, start) != np.maximum.reduceat(rank, start)
         keep = np.repeat(several, np.diff(np.append(start, len(x))))
         x, doc = x[keep], doc[keep]
-        order = np.argsort(doc, kind="stable")  # each document's hashes stay sorted
-        x, doc = x[order], doc[order]
-        start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-        end = np.append(start[1:], len(doc))[: len(start)]
-        return pa.table({"row": pa.array(doc[start]), "anchors": pa.array([packed(x[a:b]) for a, b in zip(start, end, strict=True)], pa.binary())})
+        rows, own = _by_text(x, doc)
+        return pa.table({"row": pa.array(rows), "anchors": own})
 
-    sent = docs.mapInArrow(send, "bucket int, hashes binary, texts binary, rows binary, ranks binary")
+    sent = docs.mapInArrow(send, ANCHOR_SCHEMA)
     return sent.groupBy("bucket").applyInArrow(meet, "row long, anchors binary")
 
 
@@ -195,11 +235,13 @@ def contexts(joined: DataFrame, buckets: int) -> DataFrame:
             at, raw = utf8(batch.column("raw"))
             ids, ranks = (batch.column(c).to_numpy() for c in ("row", "rank"))
             found = Anchored(at, raw)
-            shared = np.zeros(len(found.text), bool)
-            bounds = np.searchsorted(found.text, np.arange(len(ids) + 1))
-            for k, packs in enumerate(batch.column("anchors").to_pylist()):
-                own = slice(bounds[k], bounds[k + 1])
-                shared[own] = np.isin(found.hash[own], np.concatenate([unpacked(p) for p in packs]))
+            packs = batch.column("anchors")
+            each = packs.flatten()
+            sizes = pc.binary_length(each).to_numpy().astype(np.int64) // 8
+            owner = np.repeat(np.repeat(np.arange(len(ids)), pc.list_value_length(packs).to_numpy()), sizes)
+            known_hashes = utf8(each)[1].copy().view(_U) if len(each) else np.zeros(0, _U)
+            # text and hash in one number; were two alike, a context more would be sent
+            shared = np.isin(found.hash ^ mix(found.text.astype(_U) + _U(1)), known_hashes ^ mix(owner.astype(_U) + _U(1)))
             pick = np.flatnonzero(shared)
             text, low, size = found.text[pick], found.low[pick], found.high[pick] - found.low[pick] + LENGTH
             left, x = found.place[pick] - low, found.hash[pick]
@@ -231,14 +273,13 @@ def contexts(joined: DataFrame, buckets: int) -> DataFrame:
                 )
                 for c, v in zip(columns, row, strict=True):
                     c.append(v)
-            for t in np.unique(text[known]).tolist():
-                own = np.flatnonzero(known)[text[known] == t]
-                spans = np.column_stack([low[own] - at[t], low[own] - at[t] + size[own]]).astype(np.int64)
-                for c, v in zip(columns, (int(ids[t]) % buckets, *[None] * 7, int(ids[t]), joined_spans(spans).tobytes()), strict=True):
-                    c.append(v)
             kinds = [pa.int32(), *[pa.binary()] * 7, pa.int64(), pa.binary()]
             names = [c.split()[0] for c in CONTEXT_SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+            if known.any():
+                texts, spans = ranges_of(text[known], np.column_stack([low[known] - at[text[known]], low[known] - at[text[known]] + size[known]]))
+                none = pa.nulls(len(texts), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array((ids[texts] % buckets).astype(np.int32)), *[none] * 7, pa.array(ids[texts]), spans], names=names)
 
     return joined.mapInArrow(send, CONTEXT_SCHEMA)
 
@@ -255,6 +296,20 @@ def joined_spans(spans: np.ndarray) -> np.ndarray:
     return np.column_stack([spans[start, 0], reach[np.append(start[1:], len(spans)) - 1]])
 
 
+def ranges_of(owner: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(owners, :func:`joined_spans` of each as bytes), all owners at once."""
+    order = np.lexsort((spans[:, 0], owner))
+    owner, spans = owner[order], spans[order].astype(np.int64)
+    names, number = np.unique(owner, return_inverse=True)
+    far = number * (int(spans[:, 1].max(initial=0)) + 1)  # owners do not reach into one another
+    reach = np.maximum.accumulate(spans[:, 1] + far)
+    new = np.ones(len(owner), bool)
+    new[1:] = spans[1:, 0] + far[1:] > reach[:-1]
+    start = np.flatnonzero(new)
+    joined = np.column_stack([spans[start, 0], reach[np.append(start[1:], len(owner)) - 1] - far[start]]) if len(start) else spans
+    return names, binaries(joined, np.bincount(number[start], minlength=len(names)))
+
+
 def _sorted_by(high: np.ndarray, text: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
     """Order by (bytes a to b of each row, ``high`` rank), and whether each differs from the one before."""
     low = np.zeros(len(text), _U)
@@ -354,11 +409,8 @@ def removed(sent: DataFrame) -> DataFrame:
         ids, all_spans = np.concatenate(docs), np.concatenate(spans)
         if not len(ids):
             return pa.table({"row": pa.array([], pa.int64()), "gone": pa.array([], pa.binary())})
-        order = np.argsort(ids, kind="stable")
-        ids, all_spans = ids[order], all_spans[order]
-        start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        found = [joined_spans(s).astype(np.int64).tobytes() for s in np.split(all_spans, start[1:])]
-        return pa.table({"row": pa.array(ids[start]), "gone": pa.array(found, pa.binary())})
+        rows, gone = ranges_of(ids, all_spans)
+        return pa.table({"row": pa.array(rows), "gone": gone})
 
     return sent.groupBy("bucket").applyInArrow(sort, "row long, gone binary")
 
