@@ -38,7 +38,7 @@ from .spark import materialize
 CAPACITY = 4096
 END_ID = 1
 UNIT = 16
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 
 #: How the tokenizer splits a lower-cased text into words, and what may differ between its libraries and ours.
@@ -59,9 +59,12 @@ class _Parts(dict):
     def __init__(self, model: object, most: int) -> None:
         self.model, self.most, self.signs = model, most, _byte_signs()
 
-    def __missing__(self, part: str) -> bytes:
+    def made(self, part: str) -> bytes:
         spelled = part if part.isascii() and part.isalpha() else "".join(map(self.signs.__getitem__, part.encode()))
-        ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.made(part)
         if len(self) < self.most:
             self[part] = ids
         return ids
@@ -74,7 +77,7 @@ class _Words(dict):
         self.parts, self.most = parts, most
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.parts[word] if word.isascii() and word.isalpha() else b"".join(map(self.parts.__getitem__, _SPLIT.findall(word)))
+        ids = self.parts.made(word) if word.isascii() and word.isalpha() else b"".join(map(self.parts.__getitem__, _SPLIT.findall(word)))
         if len(self) < self.most:
             self[word] = ids
         return ids
@@ -83,11 +86,12 @@ class _Words(dict):
 class Encoder:
     """Token ids as little-endian bytes of four each, equal to the tokenizer's own."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, words: int = CACHE_WORDS) -> None:
+        """``words``: the most that are kept encoded."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = _Words(_Parts(self.tokenizer.model, CACHE_WORDS // 2), CACHE_WORDS)
+        self.words = _Words(_Parts(self.tokenizer.model, words // 2), words)
 
     def encode(self, text: str) -> bytes:
         if text.isascii():
@@ -99,22 +103,23 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, words: int = CACHE_WORDS) -> Encoder:
     """One encoder a Python worker, kept from task to task; its words are bounded."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, words) not in _encoders:
+        _encoders.clear()
+        _encoders[path, words] = Encoder(path, words)
+    return _encoders[path, words]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, words: int = CACHE_WORDS) -> DataFrame:
     """The pieces of ``docs(doc_id, text)`` with their number in their partition among equal lengths."""
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = encoder(tokenizer_path).encode, defaultdict(int)
+        encode, seen = encoder(tokenizer_path, words).encode, defaultdict(int)
         part = TaskContext.get().partitionId()
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
@@ -269,9 +274,12 @@ def plan(hist: dict[int, int], capacity: int = CAPACITY, unit: int = UNIT) -> tu
     return runs, sequences
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Place every piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = materialize(pieces(docs, tokenizer_path, capacity), "pieces")
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, words: int = CACHE_WORDS) -> DataFrame:
+    """Place every piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    ``words``: the encoded words that a worker keeps, time against memory.
+    """
+    cut = materialize(pieces(docs, tokenizer_path, capacity, words), "pieces")
     sums = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = materialize(sums.withColumn("before", F.coalesce(before, F.lit(0))), "starts")

@@ -19,6 +19,9 @@ from aspectra.llm.q_packing import tokenizer_path
 from aspectra.llm.spark import materialize, table, unused
 
 
+CACHE_WORDS = 100_000  # encoded words that a worker keeps, for it has seen other stages before
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling towards good text draws; the others go."""
     return resampling.filter_documents(docs, table(spark, sf_dir, "labels"))
@@ -49,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, tokenizer_path(), words=CACHE_WORDS)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
