@@ -51,7 +51,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with _small_batches(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        # a low level: its buffers, outside the heap, are small
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _written[id(out)] = weakref.ref(out), path
     return out
